@@ -1,10 +1,15 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from . import fingerprints, line_dedup, sharding
+from . import bpe, fingerprints, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_bpe": bpe.op4_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_packing": packing.op7_packing,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {"op3_line_dedup": line_dedup.OP3_SQL}

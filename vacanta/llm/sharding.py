@@ -26,7 +26,8 @@ ATOM_BITS = 16
 #: A size counts this much besides the bytes of the text.
 ROW_BYTES = 16
 #: Rows of one atom that are numbered in one task; a larger atom is dealt over several.
-ATOM_ROWS = 20_000
+#: With more rows than ATOM_ROWS << ATOM_BITS the figure rises, to bound the parts.
+ATOM_ROWS = 1_000
 
 
 def greedy_cuts(totals: list[int], capacity: int, most: int) -> list[int] | None:
@@ -74,8 +75,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, atom_rows: int = ATOM_ROW
         "shard-keys",
     )
     atoms = cut(keys.groupBy("atom").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-atoms")
-    found = sorted(atoms.select("atom", "bytes").collect())  # 2 ** ATOM_BITS rows at most
-    _, ends = minimax_cuts([b for _, b in found], shards)
+    found = sorted(atoms.select("atom", "bytes", "n").collect())  # 2 ** ATOM_BITS rows at most
+    atom_rows = max(atom_rows, sum(n for _, _, n in found) >> ATOM_BITS)
+    _, ends = minimax_cuts([b for _, b, _ in found], shards)
     last = [found[e - 1][0] for e in ends]
     shard = F.lit(0)
     for end in last[:-1]:
