@@ -18,13 +18,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches, table
+from .common import map_values, table
 
 #: Words that a worker keeps folded; beyond this it starts anew.
 KEPT_WORDS = 200_000
@@ -130,23 +128,20 @@ class Codec:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes; ids and bytes too if wanted."""
-    small_batches(docs.sparkSession)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = Codec(read_ranks(path), pattern)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                ids = codec.encode(text or "")
-                back = codec.decode(ids)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, ids, back) if keep_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if keep_ids else 3]
-            out = pd.DataFrame(rows, columns=names, index=pdf.index)
-            yield pd.concat([pdf[["doc_id"]], out], axis=1)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(encode, schema + (", ids binary, decoded binary" if keep_ids else ""))
+
+        def row(text: str | None) -> tuple:
+            ids = codec.encode(text or "")
+            back = codec.decode(ids)
+            digests = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+            return (*digests, ids, back) if keep_ids else digests
+
+        return row
+
+    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_values(docs.select("doc_id", "text"), "text", make, ddl + (", ids binary, decoded binary" if keep_ids else ""))
 
 
 def op4_bpe(spark, sf_dir):

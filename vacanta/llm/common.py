@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -55,6 +58,40 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def map_values(df: DataFrame, column: str, make: Callable[[], Callable], ddl: str) -> DataFrame:
+    """``df`` without ``column``, and with the new columns of ``ddl``, without a shuffle.
+
+    ``make()`` is called once in each task; what it returns gives a tuple for each value
+    of ``column``. The other columns pass through as Arrow arrays, nulls and all.
+    """
+    small_batches(df.sparkSession)
+    others = [c for c in df.columns if c != column]
+    new = StructType.fromDDL(ddl)
+    kinds = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = make()
+        for batch in batches:
+            rows = [value(x) for x in batch.column(column).to_pylist()]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + made, names=others + new.names)
+
+    schema = StructType([df.schema[c] for c in others] + new.fields)
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """The rows for whose value of ``column`` the function that ``make()`` returns is true."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for batch in batches:
+            yield batch.filter(pa.array([bool(good(x)) for x in batch.column(column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- words as hashes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

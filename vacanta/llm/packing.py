@@ -26,9 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import small_batches, table
 
@@ -158,37 +159,37 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
     """A row for each piece of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_type = to_arrow_schema(docs.select("doc_id").schema).field(0).type
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, base = WordTokenizer(path), TaskContext.get().partitionId() << 40
-        ids, docs = [], []
+        ids, shard, tokens = [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal base
-            rows = []
-            for d, start, n, sequence, offset in pack_shard(docs, window):
-                rows.append((start, n, zlib.crc32(docs[d][start : start + n].tobytes()), len(docs[d]), base + sequence, offset, d))
-            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "d"])
-            base = int(out["sequence_id"].max()) + 1
-            out.insert(0, "doc_id", pd.Series(ids, dtype="Int64").take(out.pop("d")).to_numpy(dtype=object, na_value=None))
+            rows = [
+                (ids[d], start, n, zlib.crc32(shard[d][start : start + n].tobytes()), len(shard[d]), base + sequence, offset)
+                for d, start, n, sequence, offset in pack_shard(shard, window)
+            ]
+            base = 1 + max(r[5] for r in rows)
             ids.clear()
-            docs.clear()
-            return out
+            shard.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else id_type) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
-        tokens = 0
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
-                docs.append(np.append(tokenizer.encode(text or ""), np.uint32(END_ID)).astype("<u4"))
-                tokens += len(docs[-1])
+                shard.append(np.append(tokenizer.encode(text or ""), np.uint32(END_ID)).astype("<u4"))
+                tokens += len(shard[-1])
                 if tokens >= shard_tokens:
                     yield close()
                     tokens = 0
-        if docs:
+        if shard:
             yield close()
 
-    return docs.select("doc_id", "text").mapInPandas(
-        pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    ddl = ", ".join(f"{n} {'long' if i else docs.schema['doc_id'].dataType.simpleString()}" for i, n in enumerate(names))
+    return docs.select("doc_id", "text").mapInArrow(pack, ddl)
 
 
 def op7_packing(spark, sf_dir):

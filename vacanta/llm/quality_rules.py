@@ -14,13 +14,11 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import mix, small_batches, table, utf8, word_hashes
+from .common import map_values, mix, table, utf8, word_hashes
 from .training import Adam, labelled_texts
 
 MIN_WORDS, REPEAT_PERCENT, SHARE = 50, 50, 0.5
@@ -150,18 +148,12 @@ def judge(data: bytes, weights: np.ndarray, transition: np.ndarray) -> tuple:
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts, verdicts, content share and line labels of every row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
     weights, transition = train_crf(*labelled_texts(docs, labels, "quality", PER_CLASS))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels"]
-
-    def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame([judge(x, weights, transition) for x in utf8(pdf["text"])], columns=names, index=pdf.index)
-            yield pd.concat([pdf[["doc_id"]], out], axis=1)
-
-    return docs.select("doc_id", "text").mapInPandas(
-        rules,
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    return map_values(
+        docs.select("doc_id", "text"),
+        "text",
+        lambda: lambda t: judge(next(utf8([t])), weights, transition),
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, content_share double, line_labels array<int>",
     )
 

@@ -20,11 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, map_values, table
 from .training import Adam, labelled_texts, sigmoid
 
 PER_CLASS = 600
@@ -224,16 +223,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def apply_model(docs: DataFrame, model, threshold: float) -> DataFrame:
-    """Scores of all columns' rows by ``model.score``; the other columns stay."""
-    small_batches(docs.sparkSession)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = [model.score(t) for t in pdf["text"]]
-            yield pdf[["doc_id"]].assign(score=np.array(s, dtype=np.float64))
-
-    scored = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """doc_id, held_out, score and predicted by ``model.score`` of whole texts."""
+    scored = map_values(docs.select("doc_id", "text"), "text", lambda: lambda t: (model.score(t),), "score double")
+    mine = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", mine.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark, sf_dir):
