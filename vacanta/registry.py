@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .catalog.queries import QUERIES, SQL, flagship
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+FLAGSHIP = flagship
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
