@@ -38,7 +38,7 @@ WINDOW, END_ID = 4_096, 2
 SHARD_TOKENS = 1 << 20
 #: Rarest terms of a seed that are looked up, BM25's constants, and words kept encoded.
 SEED_TERMS, K1, B = 48, 1.2, 0.75
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000
 
 # The word pattern of the tokenizer for texts of characters up to U+012F,
 # where lower-casing and composition need no more than Python's; others take the tokenizer.
@@ -56,23 +56,47 @@ class WordTokenizer:
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Keeps the ids of words, encoded in one text and told apart by the ids that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) == len(words) and at[-1] == len(ids):
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(words, (4 * at).tolist(), strict=True):
+                self.kept[w] = raw[start:end]
+                start = end
+        else:
+            for w in words:
+                self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         found, kept = _WORD.findall(text.lower()), self.kept
         try:
-            raw = b"".join([kept[w] for w in found])
+            raw = b"".join(map(kept.__getitem__, found))
         except KeyError:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-            new = [w for w in dict.fromkeys(found) if w not in kept]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, dtype="<u4").tobytes()
-            raw = b"".join([kept[w] for w in found])
+            self.learn([w for w in dict.fromkeys(found) if w not in kept])
+            raw = b"".join(map(kept.__getitem__, found))
         return np.frombuffer(raw, dtype="<u4")
 
 
+#: One tokenizer for each file in a worker, so that later tasks find the words kept.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 class Index:
     """BM25 over the units of one shard: postings in one array, ordered by term."""
 
@@ -163,7 +187,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, base = WordTokenizer(path), TaskContext.get().partitionId() << 40
+        words, base = tokenizer(path), TaskContext.get().partitionId() << 40
         ids, shard, tokens = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -180,7 +204,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
-                shard.append(np.append(tokenizer.encode(text or ""), np.uint32(END_ID)).astype("<u4"))
+                shard.append(np.append(words.encode(text or ""), np.uint32(END_ID)).astype("<u4"))
                 tokens += len(shard[-1])
                 if tokens >= shard_tokens:
                     yield close()
