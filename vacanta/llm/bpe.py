@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_values, table
 
 #: Words that a worker keeps folded; beyond this it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000
 
 # Letters, numbers and white space among the characters up to U+024F, for
 # which the pattern of public_tokenizers is written without Unicode classes. Texts with
@@ -113,7 +113,7 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         found, kept = (self.any_text if _OTHER.search(text) else self.plain_text)(text), self.kept
         try:
-            return b"".join([kept[w] for w in found])
+            return b"".join(map(kept.__getitem__, found))
         except KeyError:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
@@ -126,11 +126,21 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+#: One codec for each rank file and pattern in a worker, so that later tasks find the words kept.
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def worker_codec(path: str, pattern: str) -> Codec:
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
+    return _CODECS[path, pattern]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes; ids and bytes too if wanted."""
 
     def make():
-        codec = Codec(read_ranks(path), pattern)
+        codec = worker_codec(path, pattern)
 
         def row(text: str | None) -> tuple:
             ids = codec.encode(text or "")
