@@ -9,7 +9,7 @@ comparing only where the hashes of a branch differ.
 
 The fingerprint is ``root:section paragraph paragraph ...|section ...`` in hexadecimal.
 The likeness of two trees is 2 * shared leaves / all leaves, over distinct leaves, and 1
-for equal roots.
+for equal roots; trees that share all leaves but not the root are just below 1 alike.
 
 Defined results: a null text is an empty one; equal roots, two empty texts among them,
 are 1 alike; without documents there are no rows; a single document is its own next
@@ -69,8 +69,9 @@ def leaf_set(tree: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(same, F.lit(1.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+    every = F.size(a) + F.size(b)
+    alike = 2.0 * F.size(F.array_intersect(a, b)) / every
+    return F.when(same, F.lit(1.0)).otherwise(F.least(alike, 1 - 1 / (every + 1)))
 
 
 def with_range(rows: DataFrame, range_rows: int) -> DataFrame:
