@@ -252,6 +252,26 @@ def test_neighbours_are_lexical():
     assert index.neighbours(units[0], np.zeros(6, dtype=bool)).tolist()[:2] == [0, 2]
 
 
+def plain_bm25(units, seed):
+    """Scores of all units for all telling terms of a seed."""
+    n, mean = len(units), sum(map(len, units)) / len(units)
+    held = Counter(t for u in units for t in set(u.tolist()))
+    idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in held.items() if 2 * d <= n}
+    tf = [Counter(u.tolist()) for u in units]
+    norm = [packing.K1 * (1 - packing.B + packing.B * len(u) / mean) for u in units]
+    return [sum(idf.get(t, 0) * c[t] * (packing.K1 + 1) / (c[t] + k) for t in set(units[seed].tolist())) for c, k in zip(tf, norm, strict=True)]
+
+
+def test_neighbours_by_all_telling_terms():
+    rare = [np.arange(100 + 2 * i, 102 + 2 * i) for i in range(60)]  # 120 rare terms of the seed, each in one other unit
+    units = [np.concatenate([*rare, [7, 8, 9]]), *rare, np.array([7, 8, 9]), np.array([7, 8, 9]), *[np.array([900 + i]) for i in range(70)]]
+    units = [u.astype("<u4") for u in units]
+    got = packing.Index(units).neighbours(units[0], np.zeros(len(units), dtype=bool)).tolist()
+    want = plain_bm25(units, 0)
+    assert set(got) == {i for i, x in enumerate(want) if x > 0} and {61, 62} <= set(got)
+    assert np.allclose([want[i] for i in got], sorted(want, reverse=True)[: len(got)])
+
+
 # ------------------------------------------------------------------ 5
 
 

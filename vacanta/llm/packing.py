@@ -36,8 +36,8 @@ from .common import small_batches, table
 WINDOW, END_ID = 4_096, 2
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-#: Rarest terms of a seed that are looked up, BM25's constants, and words kept encoded.
-SEED_TERMS, K1, B = 48, 1.2, 0.75
+#: BM25's constants, and words kept encoded.
+K1, B = 1.2, 0.75
 KEPT_WORDS = 600_000
 
 # The word pattern of the tokenizer for texts of characters up to U+012F,
@@ -117,7 +117,6 @@ class Index:
         """Unused units that share a telling term with ``unit``, best first; ties by position."""
         at = np.searchsorted(self.terms, np.unique(unit))
         at = at[(self.idf[at] > 0) & (self.df[at] > 1)]
-        at = at[np.argsort(self.df[at], kind="stable")[:SEED_TERMS]]
         total = np.zeros(self.n)
         for t in at.tolist():
             part = slice(self.first[t], self.first[t] + self.df[t])
