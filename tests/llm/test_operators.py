@@ -246,6 +246,46 @@ def test_packing(spark, odd, none, documents, texts):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_searches_the_whole_corpus(spark):
+    """Related documents far apart meet, and windows are those of one index, however the input lies."""
+    path, window = tokenizers.path("word_bpe_49k.json"), 64
+    rng = np.random.default_rng(3)
+    vocabulary = [" ".join(rng.choice(list("abcdefghij"), 3)).replace(" ", "") for _ in range(120)]
+    rows = [(i, " ".join(rng.choice(vocabulary[10 * (i % 12) :][:14], rng.integers(3, 25)))) for i in range(150)] + [(7, "same words"), (8, "same words"), (8, "same words"), (9, None)]
+    words = packing.tokenizer(path)
+    docs = [np.append(words.encode(t or ""), np.uint32(2)).astype("<u4") for _, t in rows]
+
+    # one index over all units, a seed after the other
+    kind = [hashlib.blake2b(d[len(d) - len(d) % window :].tobytes(), digest_size=8).digest() for d in docs]
+    number = [int.from_bytes(k, "little", signed=True) for k in kind]
+    units = [d[len(d) - len(d) % window :] for d in docs]
+    tie = [int.from_bytes(hashlib.blake2b(repr(i).encode() + d.tobytes(), digest_size=4).digest(), "little", signed=True) for (i, _), d in zip(rows, docs, strict=True)]
+    order = sorted((i for i in range(len(rows)) if len(units[i])), key=lambda i: (-len(units[i]), number[i], tie[i]))
+    units, left = [units[i] for i in order], [len(units[i]) for i in order]
+    want, total = Counter(), sum(left)
+    while total:
+        seed = next(i for i, n in enumerate(left) if n)
+        score = np.round(plain_bm25(units, seed), 9)
+        near = sorted(np.flatnonzero(score), key=lambda i: (-score[i], number[order[i]], i))
+        room = size = window if total >= window else 1 << (total.bit_length() - 1)
+        made = []
+        for i in [seed, *near, *range(len(units))]:
+            if room and left[i]:
+                n = min(left[i], room)
+                made.append((rows[order[i]][0], len(docs[order[i]]) - left[i], n))
+                left[i], room = left[i] - n, room - n
+        want[tuple(made)] += 1
+        total -= size
+
+    for parts, shard in ((1, 1 << 20), (7, 50)):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string").repartition(parts)
+        by_sequence: dict = {}
+        for r in packing.pack_documents(df, path, window, shard).collect():
+            by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], (r["doc_id"], r["start"], r["length"])))
+        got = Counter(tuple(p for _, p in sorted(v)) for k, v in by_sequence.items() if k < 1 << 40)
+        assert got == want
+
+
 def test_neighbours_are_lexical():
     units = [np.array(x, dtype="<u4") for x in ([1, 2, 3], [7, 8, 9], [2, 3, 4], [7, 8, 5], [6, 6, 6], [11, 12, 13])]
     index = packing.Index(units)
