@@ -121,6 +121,13 @@ def e07(s, d):
     return resolve.examples(facts, pairs).select("a", "b", F.array_join("examples", ",").alias("examples"))
 
 
+@register("e07_examples_all", f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, array_to_string(list_slice(list_sort(list(DISTINCT a.v)), 1, 3), ',') AS examples FROM ({_EVID}) a JOIN ({_EVID}) b ON a.v = b.v WHERE 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2")
+def e07_all(s, d):
+    facts = _facts(s, d)
+    pairs = resolve.overlaps(facts).select("a", "b")
+    return resolve.examples(facts, pairs).select("a", "b", F.array_join("examples", ",").alias("examples"))
+
+
 @register("e08_probe", "SELECT seq, tie FROM v_postings WHERE platform || '/' || source_key IN ('asia/2', 'asia/7', 'europe/3')")
 def e08(s, d):
     return resolve.probe(typed_postings(s, d), [("asia", "2"), ("asia", "7"), ("europe", "3")]).select("seq", "tie")

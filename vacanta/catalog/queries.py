@@ -670,8 +670,8 @@ def l09(s, d):
 # ------------------------------------------------------------------ entities, overlap, record
 
 
-def _entities(s, d):
-    part = s.read.parquet(f"{d}/part.parquet").filter("p_partkey < 200")
+def _entities(s, d, where="p_partkey < 200"):
+    part = s.read.parquet(f"{d}/part.parquet").filter(where)
     return part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Holdings, Inc."), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise("")).alias("name"), F.lit("").alias("ticker"), F.array().cast("array<string>").alias("websites"))
 
 
@@ -690,6 +690,25 @@ def e01(s, d):
     return resolve.resolve(sources, _entities(s, d)).groupBy("outcome", "method", "confidence").agg(F.count("*").alias("n"))
 
 
+# The same over whole tables.
+_NAMED = "p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || CAST(p_size AS STRING) ELSE '' END AS name"
+
+
+@register("j07_proposals_all", f"SELECT CAST(l_orderkey AS STRING) AS key, p_partkey AS entity FROM (SELECT DISTINCT l_orderkey, name FROM lineitem JOIN (SELECT p_partkey AS k, {_NAMED} FROM part) ON k = l_partkey) s JOIN (SELECT p_partkey, {_NAMED} FROM part) e USING (name) GROUP BY ALL")
+def j07_all(s, d):
+    line, part = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(""))
+    sources = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.lit("x").alias("platform"), F.col("l_orderkey").cast("string").alias("key"), F.concat(F.lit("The "), name, F.lit(" LLC")).alias("company")).distinct()
+    return resolve.proposals(sources, _entities(s, d, "true")).select("key", "entity").distinct()
+
+
+@register("e01_resolve_all")
+def e01_all(s, d):
+    part = s.read.parquet(f"{d}/part.parquet")
+    sources = part.select(F.lit("x").alias("platform"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")).alias("key"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("company"))
+    return resolve.resolve(sources, _entities(s, d, "true")).groupBy("outcome", "method", "confidence").agg(F.count("*").alias("n"))
+
+
 _EVID = "SELECT DISTINCT l_suppkey AS src, CAST(l_orderkey AS STRING) AS v FROM lineitem WHERE l_orderkey >= 1000"
 
 
