@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacanta.functions.names import normalize, squashed
+from vacanta.catalog.views import view
 from vacanta.registry import QUERIES, SQL
 
-DATA = "/root/testdata/sf0.01"
+DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
 
@@ -53,3 +54,46 @@ def test_resolve_every_part(spark):
         want[outcome, method, confidence] += 1
     got = {(r["outcome"], r["method"], r["confidence"]): r["n"] for r in QUERIES["e01_resolve_all"](spark, DATA).collect()}
     assert got == want and {r["p_partkey"] for r in rows if r["p_partkey"] >= 400} & {e for _, e in found}
+
+
+def plain_fold(runs, seen):
+    """Rows (missing, reopens, outcome, reason) after all days, by the rules of a fold."""
+    rows, sources = {}, defaultdict(lambda: ([], 0))
+    for day in sorted({r["day"] for r in runs}):
+        ok = {}
+        for r in (r for r in runs if r["day"] == day):
+            trailing, streak = sources[r["key"]]
+            a, n = sorted(trailing), len(trailing)
+            median = 0 if not n else a[n // 2] if n % 2 else (a[n // 2 - 1] + a[n // 2]) // 2
+            clean = r["status"] == "complete" and r["errors"] == 0
+            few = median > 0 and (streak + 1 < 3 if r["postings"] == 0 else r["postings"] < 0.25 * median)
+            ok[r["key"]] = clean and not few
+            sources[r["key"]] = ((trailing + [r["postings"]])[-7:] if ok[r["key"]] else trailing, (streak + 1 if r["postings"] == 0 else 0) if clean else streak)
+        for x in {*rows, *seen[day]}:
+            missing, reopens, _, reason = rows.get(x, (0, 0, "", None))
+            if x in seen[day]:
+                rows[x] = (0, reopens + (reason is not None), "new" if x not in rows else "reopened" if reason else "unchanged", None)
+            elif reason is None and ok.get(x[0]):
+                rows[x] = (missing + 1, reopens, *(("closed", "absent") if missing + 1 >= 2 else ("missing", None)))
+            else:
+                rows[x] = (missing, reopens, "untouched", reason)
+    return Counter(rows.values())
+
+
+def test_fold_of_every_day(spark):
+    seen = defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/events.parquet").select(F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("u"), "event_type").collect():
+        seen[r["day"]].add((r["u"], r["event_type"]))
+    want = plain_fold(view(spark, SMALL, "v_runs").collect(), seen)
+    got = Counter((r["missing"], r["reopens"], r["outcome"], r["closed_reason"]) for r in QUERIES["l09_fold_all_days"](spark, SMALL).collect())
+    assert got == want and sum(want.values()) == len(set().union(*seen.values()))
+    assert any(k[3] for k in want)
+
+
+def test_every_day_is_complete_as_in_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{DATA}/events.parquet'")
+    got = Counter((r["day"], r["shard"], r["complete"]) for r in QUERIES["c08_complete_all_days"](spark, DATA).collect())
+    assert got == Counter(con.sql(f"select day, shard, complete from ({SQL['c08_complete_all_days']})").fetchall())

@@ -604,6 +604,15 @@ def c08(s, d):
     return shards.complete(manifests, rows)
 
 
+@register("c08_complete_all_days", "SELECT CAST(day AS STRING) AS day, CAST(CAST(key AS BIGINT) % 4 AS INT) AS shard, bool_and(status IN ('complete', 'failed')) AS complete FROM v_runs GROUP BY 1, 2")
+def c08_all(s, d):
+    shard = F.concat_ws(" ", "day", (F.col("key").cast("long") % 4).cast("string"))
+    rows = _runs(s, d).withColumn("shard", shard)
+    done = shards.complete(rows.select("shard").distinct().withColumn("status", F.lit("complete")), rows)
+    parts = F.split("shard", " ")
+    return done.select(parts[0].alias("day"), parts[1].cast("int").alias("shard"), "complete")
+
+
 # ------------------------------------------------------------------ identity and fold
 
 
@@ -667,6 +676,13 @@ def l09(s, d):
     return done.rows.select("id", "basis", "missing", "reopens", "outcome", "state", F.col("closed.reason").alias("closed_reason"))
 
 
+@register("l09_fold_all_days")
+def l09_all(s, d):
+    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").cast("string").alias("day")).filter("day IS NOT NULL").distinct().orderBy("day")
+    done = _folds(s, d, [r["day"] for r in days.collect()])
+    return done.rows.select("id", "basis", "missing", "reopens", "outcome", "state", F.col("closed.reason").alias("closed_reason"))
+
+
 # ------------------------------------------------------------------ entities, overlap, record
 
 
