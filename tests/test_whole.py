@@ -1,5 +1,6 @@
 """Registered queries over whole tables against brute force."""
 
+import json
 import os
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacanta.functions.names import normalize, squashed
 from vacanta.catalog.views import view
+from vacanta.operators import sinks
 from vacanta.registry import QUERIES, SQL
 
 DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -97,3 +99,13 @@ def test_every_day_is_complete_as_in_sql(spark):
     con.sql(f"create view events as select * from '{DATA}/events.parquet'")
     got = Counter((r["day"], r["shard"], r["complete"]) for r in QUERIES["c08_complete_all_days"](spark, DATA).collect())
     assert got == Counter(con.sql(f"select day, shard, complete from ({SQL['c08_complete_all_days']})").fetchall())
+
+
+def test_every_finding_is_reported(spark, tmp_path):
+    rows = [(f"p/{i}", f"q/{i}", i, 1, 2, (i + 1) / 200) for i in range(150)]
+    found = spark.createDataFrame(rows, "a string, b string, raw long, url long, req long, strength double")
+    lines = sinks.overlap_report(found).split("\n")
+    assert len(lines) == 152 and lines[2].startswith("| p/149 | q/149 |") and lines[-1].startswith("| p/0 | q/0 |")
+    sinks.write_findings(found, str(tmp_path / "findings"))
+    got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "findings")).collect()]
+    assert sorted(tuple(x.values()) for x in got) == sorted(rows)

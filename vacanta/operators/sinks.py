@@ -113,8 +113,17 @@ def churn_report(churn: DataFrame, refused: DataFrame) -> DataFrame:
     return a.unionByName(refused.select(F.concat(F.lit("refused: "), F.col("verdict")).alias("what"), "n"))
 
 
-def overlap_report(found: DataFrame, most: int = 100) -> str:
-    """A Markdown table of findings, strongest first."""
-    rows = found.orderBy(F.desc("strength"), "a", "b").limit(most).collect()
+def findings_json(found: DataFrame) -> DataFrame:
+    """A JSON line for every finding."""
+    return found.select(F.to_json(F.struct(*found.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_findings(found: DataFrame, path: str) -> None:
+    findings_json(found).write.mode("overwrite").text(path)
+
+
+def overlap_report(found: DataFrame) -> str:
+    """A Markdown table of all findings, strongest first."""
+    rows = found.orderBy(F.desc("strength"), "a", "b").toLocalIterator()
     lines = ["| a | b | raw | url | req | strength |", "| --- | --- | ---: | ---: | ---: | ---: |"]
     return "\n".join(lines + [f"| {r['a']} | {r['b']} | {r['raw']} | {r['url']} | {r['req']} | {r['strength']:.3f} |" for r in rows])
