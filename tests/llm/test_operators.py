@@ -383,6 +383,16 @@ def test_classifiers(spark, odd, none, operator, column, threshold):
     assert len(texts) == len(y) <= 10
 
 
+def test_worst_window_crosses_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BUCKET_BITS), 0.25, 1.0, 0.0)
+    texts = [None, "", "  ", "one", "one two", "one two three", *(" ".join("".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(n)) for n in (4, 5, 9, 40, 200))]
+    want = [model.worst(t) for t in texts]
+    for part in (1, 7, 16, 100):
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert np.allclose([model.worst(t) for t in texts], want)
+
+
 def test_misspelt_words():
     rng = np.random.default_rng(0)
     clean = [" ".join(rng.choice(["garden", "river", "lamp", "stone", "window", "green"], 60)) for _ in range(80)]

@@ -89,15 +89,18 @@ class Model:
         return total / np.maximum(count, 1)
 
     def worst(self, text: str | None) -> float:
-        data, most, at = normal(text), -np.inf, 0
-        while at < len(data) or most == -np.inf:
+        data, most, at, held = normal(text), -np.inf, 0, np.zeros(0)
+        while at < len(data):
             stop = data.find(b" ", at + PART)
             stop = len(data) if stop < 0 else stop
-            w = self.word_logits(data[at:stop])
-            k = min(WINDOW, len(w))
-            run = np.concatenate(([0.0], np.cumsum(w)))
-            most = max(most, float(((run[k:] - run[:-k]) / k).max()) if k else 0.0)
+            w = np.concatenate((held, self.word_logits(data[at:stop])))
+            if len(w) >= WINDOW:
+                run = np.concatenate(([0.0], np.cumsum(w)))
+                most = max(most, float(((run[WINDOW:] - run[:-WINDOW]) / WINDOW).max()))
+            held = w[-(WINDOW - 1) :]  # windows go on across the cut
             at = max(stop, at + 1)
+        if most == -np.inf:  # fewer words than a window has
+            most = float(np.cumsum(held)[-1] / len(held)) if len(held) else 0.0
         return most + self.bias
 
     def score(self, text: str | None) -> float:
