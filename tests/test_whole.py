@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacanta.functions.names import normalize, squashed
 from vacanta.catalog.views import view
-from vacanta.operators import sinks
+from vacanta.operators import resolve, sinks
 from vacanta.registry import QUERIES, SQL
 
 DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -109,3 +109,11 @@ def test_every_finding_is_reported(spark, tmp_path):
     sinks.write_findings(found, str(tmp_path / "findings"))
     got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "findings")).collect()]
     assert sorted(tuple(x.values()) for x in got) == sorted(rows)
+
+
+def test_mostly_failed_look_ups_are_refused(spark):
+    matches = spark.createDataFrame([(i,) for i in range(11)], "entity long")
+    filers = lambda n: spark.createDataFrame([(i, "6770" if i == 0 else "7372") for i in range(n)], "entity long, sic string")
+    assert sorted(map(tuple, resolve.drop_shells(matches, filers(10)).collect())) == [(i, "7372") for i in range(1, 10)] + [(10, None)]
+    with pytest.raises(ValueError):
+        resolve.drop_shells(matches, filers(9))  # two of ten
