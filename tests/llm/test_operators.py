@@ -183,6 +183,14 @@ def test_near_duplicates(spark, none, k, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
 
 
+def test_blocks_link_by_every_text_of_an_id(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "uno due tre quattro cinque sei"
+    texts = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, "other words that nobody else has")], "rep long, text string")
+    members = spark.createDataFrame([(9, 4, i, i) for i in (1, 2, 3, 4)], "key long, c long, rep long, comp long")
+    got = {tuple(sorted(r)) for r in near_dedup._blocks(members, texts, 3, 85).collect()}
+    assert got == {(1, 2), (1, 3)}
+
+
 def test_near_duplicates_empty(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
