@@ -401,6 +401,28 @@ def test_worst_window_crosses_parts(monkeypatch):
         assert np.allclose([model.worst(t) for t in texts], want)
 
 
+def test_blanks_tell_nothing():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BUCKET_BITS), 0.25, 1.0, 0.0)
+    text = "some words that stand at the start of a long text"
+    spread = text + " " * (2 * toxicity.PART) + "\n" + " " * toxicity.PART
+    assert model.worst(spread) == pytest.approx(model.worst(text)) and model.worst(" " * (3 * toxicity.PART)) == model.worst(None) == 0
+    long = " ".join("".join(rng.choice(list("abcde"), 6)) for _ in range(2 * toxicity.PART // 6))
+    logits = toxicity.evidence(model.word_logits(toxicity.normal(long)))
+    run = np.concatenate(([0.0], np.cumsum(logits)))
+    assert len(long) > 2 * toxicity.PART and model.worst(long) == pytest.approx((run - np.minimum.accumulate(run)).max())
+
+
+def test_held_out_toxicity(spark):
+    """On sf0.1 "clean" for all is right for 0.88 of the held-out documents."""
+    docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.train(*labelled_texts(docs, labels, "toxic", toxicity.PER_CLASS))
+    held = docs.join(labels, "doc_id").filter(common.held_out(F.col("doc_id"))).select("text", "toxic").collect()
+    found = Counter((r["toxic"], int(model.score(r["text"]) >= toxicity.THRESHOLD)) for r in held)
+    assert found[1, 1] + found[0, 0] >= 0.97 * len(held)
+    assert found[1, 1] >= 0.9 * (found[1, 1] + found[0, 1]) and found[1, 1] >= 0.85 * (found[1, 1] + found[1, 0])
+
+
 def test_misspelt_words():
     rng = np.random.default_rng(0)
     clean = [" ".join(rng.choice(["garden", "river", "lamp", "stone", "window", "green"], 60)) for _ in range(80)]
