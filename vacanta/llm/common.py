@@ -23,18 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINTS
+
+
+def at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver ends, as results may be read until then."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again.
 
     Later stages start from the files, so a lost executor costs one re-read and no
-    expression is computed twice.
+    expression is computed twice. ``drop_cut`` deletes the files when nothing reads them
+    any more; what a result still needs goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

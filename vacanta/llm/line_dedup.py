@@ -4,10 +4,16 @@ A line's key is the line without white space at both ends and with A-Z lower-cas
 Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold
 lose all their lines, but for those in the largest doc_id that holds the key.
 
-Defined results: a null or empty text is one empty line and stays empty; each row is a
-document of its own, so repeated rows count as often as they occur, and rows that share
-the largest doc_id all keep their lines; rows without doc_id count towards a key and
-lose its lines; an empty table gives no rows; other columns pass through untouched.
+Each long line's key is hashed and exploded with its position; documents are counted by
+distinct doc_id; a text that loses lines is put together again from the positions that
+stay, in time linear in its lines.
+
+Defined results: a null or empty text is one empty line and stays empty; rows that share
+a doc_id are one document for the count, and where it is the largest all of them keep
+their lines; rows without doc_id are no documents for the count, but lose lines that
+others made common; texts of any length are read whole; an empty table gives no rows;
+other columns pass through untouched, except that columns named ``n_lines`` and
+``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from .common import cut, table
 
 WHITE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Tasks that a key's lines are dealt over when they meet the common keys.
+SALTS = 16
 
 
 def _key(line: Column) -> Column:
@@ -44,30 +52,35 @@ def _hashed(text: Column, min_chars: int) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` (doc_id, text and others) with ``text`` reassembled, ``n_lines`` and ``n_dropped``."""
-    keep = [c for c in docs.columns if c != "text"]
-    held = docs.select("doc_id", F.array_distinct(F.filter(_hashed(F.col("text"), min_chars), lambda x: x.isNotNull())).alias("keys"))
-    held = cut(held.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.a", "k.b"), "line-keys")
-    # One row for each document and key, so plain counts do, and are partial before the shuffle.
-    common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")).filter(F.col("n") >= min_docs)
-    # A key that a third of the documents hold makes one large partition here; AQE splits it.
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Rows of one doc_id may differ in their texts: positions are those of an id and a text.
+    of = [F.col("doc_id").alias("id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(7), text).alias("two")]
+    held = docs.select(*of, F.posexplode(_hashed(F.col("text"), min_chars)).alias("pos", "k")).filter(F.col("k").isNotNull())
+    held = cut(held.select("id", "one", "two", "pos", "k.a", "k.b"), "line-keys")
+    common = held.select("a", "b", "id").distinct().groupBy("a", "b").agg(F.count("id").alias("n"), F.max("id").alias("owner")).filter(F.col("n") >= min_docs)
+    # A key that a third of the documents hold meets its owner in SALTS tasks.
+    owners = common.select("a", "b", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("id", "one", "pos"), F.lit(SALTS)).cast("int")
     lost = (
-        held.join(common, ["a", "b"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("__lost"))  # no more than the lines of one document
+        held.withColumn("salt", salt)
+        .join(owners, ["a", "b", "salt"])
+        .filter(~F.col("id").eqNullSafe(F.col("owner")))
+        .groupBy("id", "one", "two")
+        .agg(F.collect_set("pos").alias("lost"))  # no more than the lines of one text
     )
-    lost = lost.withColumnRenamed("doc_id", "__of")
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
-    pairs = F.arrays_zip(_lines(F.col("text")).alias("line"), _hashed(F.col("text"), min_chars).alias("key"))
-    stay = F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__lost"), x["key"]))
-    n_lines = F.size(_lines(F.col("text"))).cast("long")
-    kept = joined.select(*keep, "text", n_lines.alias("n_lines"), F.when(F.col("__lost").isNotNull(), F.transform(stay, lambda x: x["line"])).alias("__stay"))
-    return kept.select(
-        *keep,
-        F.when(F.col("__stay").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__stay", "\n")).alias("text"),
-        "n_lines",
-        F.when(F.col("__stay").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__stay")).cast("long").alias("n_dropped"),
+    lines = docs.select(F.struct(*others).alias("row"), *of, _lines(F.col("text")).alias("lines"))
+    same = [lines[c].eqNullSafe(lost[c]) for c in ("id", "one", "two")]
+    joined = lines.join(lost, same[0] & same[1] & same[2], "left").select("row", "lines", "lost")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.col("lines")[i]))
+    made = joined.select(
+        "row",
+        F.array_join(kept, "\n").alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return made.select("row.*", "text", "n_lines", "n_dropped")
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -89,7 +102,7 @@ WITH lines AS (
   SELECT k, max(doc_id) AS owner FROM keyed WHERE length(k) >= 40
   GROUP BY k HAVING count(DISTINCT doc_id) >= 5
 ), marked AS (
-  SELECT y.doc_id, y.pos, y.line, c.k IS NOT NULL AND y.doc_id <> c.owner AS gone
+  SELECT y.doc_id, y.pos, y.line, c.k IS NOT NULL AND y.doc_id IS DISTINCT FROM c.owner AS gone
   FROM keyed y LEFT JOIN common c ON y.k = c.k
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS BIGINT)) AS BIGINT) AS n_dropped,
