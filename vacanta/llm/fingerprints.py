@@ -7,14 +7,18 @@ paragraph whose hash is 0 modulo ``SECTION`` (so that sections resynchronise aft
 edit); the sections make the root. Equal texts have equal trees, and two trees need
 comparing only where the hashes of a branch differ.
 
-The fingerprint is ``root:section paragraph paragraph ...|section ...`` in hexadecimal.
-The likeness of two trees is 2 * shared leaves / all leaves, over distinct leaves, and 1
-for equal roots; trees that share all leaves but not the root are just below 1 alike.
+The fingerprint writes the tree out: ``root:section paragraph paragraph|section ...`` in
+hexadecimal, where a paragraph is its own hash and, each behind a comma, its leaves.
+Likeness is a function of two fingerprints alone, read from the top: equal roots are 1
+alike; below them it is 2 * shared leaves / all leaves, over distinct leaves, and trees
+that share all leaves but not the root are just below 1 alike. ``changed`` names the
+paragraphs of one fingerprint that another lacks.
 
 Defined results: a null text is an empty one; equal roots, two empty texts among them,
-are 1 alike; without documents there are no rows; a single document is its own next
-one; rows with the same doc_id follow each other in the order of their texts; rows
-without doc_id come first; extra columns are ignored.
+are 1 alike; texts without words have no leaves and are 0 alike unless their roots are
+equal; without documents there are no rows; a single document is its own next one; rows
+with the same doc_id follow each other in the order of their texts; rows without doc_id
+come first; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +53,13 @@ def leaves(text: Column) -> Column:
 
 
 def fingerprint(text: Column, tree: Column) -> Column:
-    """root:sections of paragraphs, from the leaves of ``tree``."""
-    # "hash " for each paragraph, with "|" after one that closes a section
+    """The tree as a string, from the leaves of ``tree``."""
+    # "hash,leaf,leaf " for each paragraph, with "|" after one that closes a section
     marked = F.transform(
         tree,
         lambda p: F.concat(
             _hex(F.xxhash64(p), 8),
+            F.array_join(F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: F.concat(F.lit(","), _hex(x, 8))), ""),
             F.when((F.size(p) == 1) | (F.pmod(F.xxhash64(p), F.lit(SECTION)) == 0), F.lit("|")).otherwise(F.lit(" ")),
         ),
     )
@@ -63,15 +68,33 @@ def fingerprint(text: Column, tree: Column) -> Column:
     return F.concat(_hex(F.xxhash64(text)), _hex(F.xxhash64(F.lit(2), body)), F.lit(":"), body)
 
 
-def leaf_set(tree: Column) -> Column:
-    """The distinct leaves; a paragraph's own hash (its last entry) is no leaf unless it is all there is."""
-    return F.array_distinct(F.flatten(F.transform(tree, lambda p: F.when(F.size(p) > 1, F.slice(p, 1, F.size(p) - 1)).otherwise(p))))
+def root(printed: Column) -> Column:
+    return F.substring(printed, 1, 32)
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    every = F.size(a) + F.size(b)
-    alike = 2.0 * F.size(F.array_intersect(a, b)) / every
-    return F.when(same, F.lit(1.0)).otherwise(F.least(alike, 1 - 1 / (every + 1)))
+def leaf_set(printed: Column) -> Column:
+    """The distinct leaves that a fingerprint holds."""
+    parts = F.split(printed, ",")
+    return F.array_distinct(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.substring(x, 1, 8)))
+
+
+def paragraphs(printed: Column) -> Column:
+    """The hashes of a fingerprint's paragraphs, in order."""
+    parts = F.flatten(F.transform(F.split(F.substring(printed, 34, 1 << 30), r"\|"), lambda s: F.slice(F.split(s, " "), 2, 1 << 30)))
+    return F.transform(parts, lambda p: F.substring(p, 1, 8))
+
+
+def changed(a: Column, b: Column) -> Column:
+    """Hashes of the paragraphs of fingerprint ``a`` that ``b`` lacks; none for equal roots."""
+    return F.when(root(a) == root(b), F.array().cast("array<string>")).otherwise(F.array_except(paragraphs(a), paragraphs(b)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two fingerprints are, 0 to 1."""
+    x, y = leaf_set(a), leaf_set(b)
+    every = F.size(x) + F.size(y)
+    alike = 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(every, F.lit(1))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(alike, 1 - 1 / (every + 1)))
 
 
 def with_range(rows: DataFrame, range_rows: int) -> DataFrame:
@@ -120,26 +143,29 @@ def next_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataF
 def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next."""
     rows, ahead = next_documents(docs, range_rows)
+    rows = rows.select("doc_id", "key", "text", "range", "tail", fingerprint(F.col("text"), leaves(F.col("text"))).alias("fingerprint"))
     rows = rows.select(
-        "doc_id", "key", "text", "range", "tail", leaves(F.col("text")).alias("tree"), F.lead("text").over(ahead).alias("next_text")
-    ).select(
-        "*", fingerprint(F.col("text"), F.col("tree")).alias("fingerprint"), leaf_set(F.col("tree")).alias("set"), F.char_length("text").cast("long").alias("n_chars")
-    )
-    rows = rows.select(
-        "doc_id", "text", "tail", "next_text", "fingerprint", "set", "n_chars", F.lead("set").over(ahead).alias("next_set")
+        "doc_id",
+        "text",
+        "tail",
+        "fingerprint",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.lead("text").over(ahead).alias("next_text"),
+        F.lead("fingerprint").over(ahead).alias("next"),
     ).filter(F.col("tail") == 0)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
-    ).withColumn("edited_tree", leaves(F.col("edited")))
+    )
+    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"), leaves(F.col("edited"))))
     return rows.select(
         "doc_id",
         "n_chars",
         "edited",
         "fingerprint",
-        fingerprint(F.col("edited"), F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("set"), leaf_set(F.col("edited_tree")), F.col("text") == F.col("edited")).alias("near_edited"),
-        likeness(F.col("set"), F.col("next_set"), F.col("text") == F.col("next_text")).alias("near_next"),
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )
 
 
