@@ -75,6 +75,24 @@ def test_sharding(odd, none):
     assert len({r["shard"] for r in rows if r["text_crc32"] == zlib.crc32(b"same text")}) == 1
 
 
+@pytest.mark.parametrize("bits", [1, 2, 5])
+def test_cuts_are_those_over_groups(spark, bits, monkeypatch):
+    """However few atoms reach the driver, the largest shard is the minimax over groups in hash order."""
+    monkeypatch.setattr(sharding, "MOST_ATOMS", 8)
+    rng = np.random.default_rng(bits)
+    rows = [(i, "x" * int(rng.integers(0, 200)) + str(i // 2)) for i in range(300)] + [(400 + i, "copies " * 9) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(df, 7, atom_bits=bits).withColumn("h", F.col("text_crc32")).collect()
+    sizes = {(r["h"], r["text"]): r["s"] for r in df.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.sum(F.octet_length("text") + 16).alias("s")).collect()}
+    in_order = [sizes[k] for k in sorted(sizes)]
+    held = Counter()
+    for r in got:
+        held[r["shard"]] += r["size"]
+    assert max(held.values()) == best_capacity(in_order, 7) and len(got) == len(rows)
+    for s in held:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # ------------------------------------------------------------------ 3
 
 
@@ -84,8 +102,8 @@ def plain_lines(rows):
     held: dict = {}
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            held.setdefault(k, []).append(i)
-    common_keys = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
+            held.setdefault(k, set()).add(i)
+    common_keys = {k: max(v - {None}) for k, v in held.items() if len(k) >= 40 and len(v - {None}) >= 5}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -100,6 +118,20 @@ def test_line_dedup(odd, none):
     assert set(line_dedup.dedup_lines(odd).columns) == {*odd.columns, "n_lines", "n_dropped"}
 
 
+def test_line_dedup_of_odd_rows(spark):
+    """Ids that repeat or are missing, long texts, lines in every place, and columns with the output's names."""
+    rng = np.random.default_rng(8)
+    pool = [f"line {i} of the pool, long enough to be a line that counts" for i in range(12)] + ["short", "", "  "]
+    rows = [(None if i % 9 == 0 else int(rng.integers(0, 30)), "\n".join(rng.choice(pool, rng.integers(1, 12)))) for i in range(80)]
+    rows += [(99, "\n".join(f"{i} {pool[i % 12]}" if i % 3 else pool[i % 12] for i in range(30_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("n_lines", "n_dropped", "row", "id", "lines", "lost", "pos", "a", "owner", "salt", "__of", "one"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = line_dedup.dedup_lines(df)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == Counter(plain_lines(rows))
+    assert sorted(out.columns) == sorted(df.columns) and {r[0] for r in out.select("lost").distinct().collect()} == {"clash"}
+
+
 def test_line_dedup_equals_sql(spark):
     import duckdb
 
@@ -127,10 +159,36 @@ def test_fingerprints(odd, none):
     assert same[13] == 1.0 and all((r["near_edited"] == 1) == (r["fingerprint"] == r["edited_fingerprint"]) for r in rows)
 
 
+def parsed(printed):
+    """Root, paragraph hashes and leaves of a fingerprint."""
+    root, _, body = printed.partition(":")
+    paragraphs = [p.split(",") for s in body.split("|") for p in s.split(" ")[1:]]
+    return root, [p[0] for p in paragraphs], {x for p in paragraphs for x in p[1:]}
+
+
+def plain_likeness(a, b):
+    (root_a, _, x), (root_b, _, y) = parsed(a), parsed(b)
+    if root_a == root_b:
+        return 1.0
+    return min(2 * len(x & y) / max(len(x) + len(y), 1), 1 - 1 / (len(x) + len(y) + 1))
+
+
+def test_likeness_is_of_the_fingerprints(spark, odd, documents):
+    for df in (odd, documents.union(spark.createDataFrame([(9_000_001, "w " * 900_000, None, None, None), (9_000_002, "w x " * 400_000, None, None, None)], documents.schema))):
+        rows = fingerprints.fingerprint_documents(df, range_rows=50).orderBy(F.col("doc_id").asc_nulls_first(), F.coalesce("edited", F.lit(""))).collect()
+        assert all(r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"])) for r in rows)
+        if df is not odd:
+            assert all(r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], s["fingerprint"])) for r, s in zip(rows, rows[1:] + rows[:1], strict=True))
+            alike = [r["near_edited"] for r in rows if r["n_chars"] > 2000]
+            assert 0.3 < np.mean(alike) < 0.9 > np.mean([r["near_next"] for r in rows if r["n_chars"] > 2000])
+
+
 def test_fingerprints_locate_edits(spark):
     rows = [(1, "First one here now.\nSecond paragraph of words.\nThird is last."), (2, "First one here now.\nSecond paragraph was edited.\nThird is last.")]
     a, b = [r["fingerprint"] for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert a.split(":")[0] != b.split(":")[0] and a[-8:] == b[-8:]
+    assert parsed(a)[0] != parsed(b)[0] and [x == y for x, y in zip(parsed(a)[1], parsed(b)[1], strict=True)] == [True, False, True]
+    found = spark.createDataFrame([(a, b), (a, a)], "a string, b string").select(fingerprints.changed(F.col("a"), F.col("b")), fingerprints.paragraphs(F.col("a"))).collect()
+    assert found[0][0] == [parsed(a)[1][1]] and found[1][0] == [] and found[0][1] == parsed(a)[1]
 
 
 # ------------------------------------------------------------------ 2
@@ -365,6 +423,36 @@ def test_quality_rules(spark, odd, none, documents, texts):
         assert tuple(r[f] for f in fields) == plain_rules(texts[r["doc_id"]]) and r["kept"] == (not r["base_failed"])
 
 
+def test_gradients_of_the_field(monkeypatch):
+    """Against differences of the likelihood over all labellings; and batches don't show."""
+    rng = np.random.default_rng(0)
+    chains, label, weigh = [rng.integers(0, 1 << quality_rules.N_FEATURES, n).astype(np.int16) for n in (5, 3, 1)], np.array([1, 0, 1]), np.array([0.5, 1, 2.0])
+    weights, transition = rng.normal(size=(quality_rules.N_FEATURES, 2)) / 10, rng.normal(size=(2, 2))
+
+    def loss():
+        out = 0
+        for c, y, w in zip(chains, label, weigh, strict=True):
+            e, n = (quality_rules.FEATURES @ weights)[c], len(c)
+            paths = [[(p >> i) & 1 for i in range(n)] for p in range(1 << n)]
+            every = [sum(e[i, x] for i, x in enumerate(p)) + sum(transition[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths]
+            out += w * (np.logaddexp.reduce(every) - every[-1 if y else 0])
+        return out
+
+    for of, grad in zip((weights, transition), quality_rules.gradients(chains, label, weigh, weights, transition), strict=True):
+        for i in np.ndindex(of.shape):
+            of[i] += 1e-5
+            up = loss()
+            of[i] -= 2e-5
+            down = loss()
+            of[i] += 1e-5
+            assert grad[i] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+    texts = [b"\n".join([b"Some words of a line here."] * n) for n in (1, 2, 300, 7)] + [b"$$ ## %%\n" * n for n in (2, 5, 90)]
+    y = np.array([1, 1, 1, 1, 0, 0, 0])
+    one = quality_rules.train_crf(texts, y, steps=5)
+    monkeypatch.setattr(quality_rules, "CELLS", 10)
+    assert all(np.allclose(a, b) for a, b in zip(one, quality_rules.train_crf(texts, y, steps=5), strict=True))
+
+
 def test_viterbi():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5):
