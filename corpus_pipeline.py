@@ -37,7 +37,9 @@ def quality(spark, docs, sf_dir):
 def lines(spark, docs, sf_dir):
     """Drops lines that many documents share, but for their last document."""
     out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def near_copies(spark, docs, sf_dir):
