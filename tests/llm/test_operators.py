@@ -389,6 +389,12 @@ def test_neighbours_by_all_telling_terms():
         ("<article><p>Kept words stay here.</p><div class='ad'>Buy this</div><aside>Also see</aside><p>More kept words.</p><div id=comments><p>I disagree a lot</p></div></article>", "Kept words stay here.\nMore kept words."),
         ("<script>var a='</p><p>x';</script><style>p{}</style><article><p>Only this text counts.</article><!-- never ends", "Only this text counts."),
         ("<article><p>Words before the cut <a hre", "Words before the cut"),
+        ("<article><p>Before words here now.</p><button-row></button-row><p>After these words too.</p></article>", "Before words here now.\nAfter these words too."),
+        ("<title-bar>Site</title-bar><article><h1>Title here</h1><p>Words of the article.</p><select-x></select-x></article>", "Title here\nWords of the article."),
+        ("<article><p>Before the drawing here.</p><svg width=1 /><p>After the drawing here.</p><svg><text>no</text></svg><p>The end of it.</p></article>", "Before the drawing here.\nAfter the drawing here.\nThe end of it."),
+        ("<article><h2 class='menu-title'>A dish of the day</h2><p>First words of it all.</p><p class='social-history'>Words on the history of a town.</p><p>Last words of it all.</p></article>", "A dish of the day\nFirst words of it all.\nWords on the history of a town.\nLast words of it all."),
+        ("<p>Only today here</p><article><p>Words that tell a story in plain and quiet sentences.</p></article><div>Words that stand outside of it</div>", "Words that tell a story in plain and quiet sentences."),
+        ("<select><option>One<option>Two</select><article><p>Some words of an article.</p></article><script>never ends <p>here", "Some words of an article."),
     ],
 )
 def test_extract(page, want):
@@ -398,8 +404,42 @@ def test_extract(page, want):
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article>Some words here</article>"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()) == Counter([(1, "", 0), (1, "", 0), (None, "Some words here", 15)])
-    weights = html_extract.weights()
-    assert weights[" plain"] > 0 > weights[" boiler"] and all(v < 0 for k, v in weights.items() if k[0] != " ")
+    assert html_extract.extract_pages(df.limit(0)).count() == 0 and all(v < 0 for v in html_extract.weights().tag.values())
+
+
+def test_region_is_the_best_of_all():
+    """Against all runs; of equal ones the first start and the nearest end."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        scores = rng.integers(-3, 4, rng.integers(0, 12)).astype(float).tolist()
+        runs = [(sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max((r[0] for r in runs), default=0)
+        a, b = html_extract.best_region(scores)
+        assert (sum(scores[a:b]) if b > a else 0) == max(best, 0) and (best > 0 or (a, b) == (0, 0))
+        if best > 0:  # no shorter run of that sum ends before
+            assert b == min(-r[2] for r in runs if r[0] == best)
+
+
+def test_region_decides_the_text(spark, monkeypatch):
+    pages = [r["html"] for r in common.table(spark, DATA, "pages").collect()]
+    found = [html_extract.extract(p) for p in pages]
+    monkeypatch.setattr(html_extract, "best_region", lambda scores: (0, len(scores)))
+    assert sum(html_extract.extract(p) != t for p, t in zip(pages, found, strict=True)) > 0.9 * len(pages)
+
+
+def test_extract_labelled_pages():
+    """Pages that the weights have not seen: nearly all of the article's words and few others."""
+    missing = added = total = 0
+    for pieces in html_extract.labelled_pages(200, seed=77):
+        want = Counter(w for p, of_article in pieces if of_article for w in html_extract.re.sub(r"<[^>]*>", " ", p).split())
+        got = Counter(html_extract.extract("".join(p for p, _ in pieces)).split())
+        missing, added, total = missing + (want - got).total(), added + (got - want).total(), total + want.total()
+    assert missing < 0.03 * total and added < 0.02 * total
+
+
+def test_extract_long_page():
+    page = "<nav>" + "<a href=x>Menu</a>" * 5_000 + "</nav><article>" + "<p>Some <b>words in a <i>paragraph</u> here.</p>" * 40_000 + "</article>" + "</b>" * 40_000
+    assert html_extract.extract(page) == "\n".join(["Some words in a paragraph here."] * 40_000)
 
 
 # ------------------------------------------------------------------ 8
