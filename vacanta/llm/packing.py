@@ -1,49 +1,48 @@
 """Packing by lexical retrieval (operator 7).
 
-Documents are cut into tokens and written once. A document that fills windows by itself
-does so; what is left of each document is a unit. BM25 over all units of the corpus gives,
-for each seed (the longest unused unit), its best unused neighbours, which fill the seed's
-window in that order; where the seed has no neighbours left, the next longest units follow.
-The last unit of a window is cut where the window ends, and its rest stays unused. What the
-corpus has left over at its end is cut into powers of two, which need no padding.
-
-Counts of terms are taken over the corpus first. Then the next seeds, some thousands at a
-time, meet the index of every shard, and the driver fills their windows in order, with a
-row for each unit; where earlier seeds used up what was found for one, it is searched again.
-So windows are those of one index over the corpus, whatever files and partitions it has
-(only ids of sequences depend on them). Each seed is compared with each unit: the time
-grows with the square of the corpus. Units of equal tokens are indexed once.
-
-Defined results: a null or empty text is a document of the end id alone; rows that
-repeat are each packed; an empty table gives no rows; extra columns are ignored.
+Documents are cut into tokens. A document that fills windows by itself does so; what is
+left of each document is a unit. Units are put in the order of their rarest terms, by the
+counts of the whole corpus, and dealt into shards of neighbours in that order, about
+``SHARD_TOKENS`` each. A shard has a BM25 inverted index, with the corpus's counts, which
+returns for each seed (the longest unused unit) its best unused neighbours by all terms
+that tell; these fill the seed's window in that order, and where the seed has none left,
+the next longest units follow. The last unit of a window is cut where the window ends, and
+its rest stays unused. What a shard has left over at its end is cut into powers of two,
+which need no padding.
+
+So texts that share their rarest terms (copies, edited copies, quotations) meet wherever
+they lie, and time grows with the corpus; a neighbour that shares only commoner terms may
+lie in another shard. The README tells how many do. A task holds two shards at most, and
+a key that very many units have (copies of one text) is dealt over shards like any other.
+
+Defined results: a null or empty text is a document of the end id alone; strings of
+special tokens in a text are those tokens, as the library has them; rows that repeat are
+each packed; ties go by the order in the shard; texts of any length are read whole, and
+only what fills no window goes into a shard; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, shared_dir, small_batches, table
+from .common import cut, small_batches, table
 
 WINDOW, END_ID = 4_096, 2
-#: Tokens that are indexed at once; bounds the memory of a task and changes no result.
-SHARD_TOKENS = 1 << 20
-#: Seeds of the first and of the largest search, and windows that what is found for each could fill.
-SEEDS, MOST_SEEDS, AHEAD = 1_024, 4_096, 64
-#: Common terms of a matrix product; a term is common from this fraction of all (query, unit) pairs.
-COLUMNS, DENSE = 1_024, 64
+#: Tokens of a shard, shards of a partition, and the most partitions (beyond, they grow).
+SHARD_TOKENS, PART_SHARDS, MOST_PARTS = 1 << 20, 4, 1 << 16
+#: Rarest terms that order the units.
+KEY_TERMS = 4
 #: BM25's constants, and words kept encoded.
 K1, B = 1.2, 0.75
 KEPT_WORDS = 600_000
@@ -63,9 +62,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # texts that may hold a special token are the library's own business
+        self.special = re.compile("|".join(map(re.escape, special)) or r"\Z.", re.I)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.small = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
@@ -82,7 +84,7 @@ class WordTokenizer:
                 self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         found, kept = _WORD.findall(text.lower()), self.kept
         try:
@@ -120,260 +122,165 @@ class Index:
         self.owner, term = pairs % len(units), pairs // len(units)
         self.terms, self.first, self.held = np.unique(term, return_index=True, return_counts=True)
         n, tokens, df = (len(units), int(sizes.sum()), self.held) if corpus is None else (corpus[0], corpus[1], corpus[2][self.terms])
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.idf = np.where(2 * df > n, 0, idf)  # a term of over half of the units tells nothing
+        # a term of over half of the units tells nothing
+        self.idf = np.where(2 * df > n, 0, np.log(1 + (n - df + 0.5) / (df + 0.5)))
         norm = K1 * (1 - B + B * sizes * n / tokens)
         self.score = np.repeat(self.idf, self.held) * tf * (K1 + 1) / (tf + norm[self.owner])
         self.n = len(units)
 
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """A row for each query (distinct terms) with the scores of all units."""
-        out, term = np.zeros((len(queries), self.n)), np.concatenate(queries)
-        who, at = np.repeat(np.arange(len(queries)), [len(q) for q in queries]), np.searchsorted(self.terms, term)
-        at[at == len(self.terms)] = 0
-        use = (self.terms[at] == term) & (self.idf[at] > 0)
-        order = np.argsort(at[use], kind="stable")
-        at, who = at[use][order], who[use][order]
-        terms, begin, asked = np.unique(at, return_index=True, return_counts=True)
-        many = asked * self.held[terms] * DENSE > out.size
-        parts = [(who[b : b + a], slice(f, f + h)) for b, a, f, h in zip(begin, asked, self.first[terms], self.held[terms], strict=True)]
-        for t in np.flatnonzero(~many):
-            rows, part = parts[t]
-            out[rows[:, None], self.owner[part]] += self.score[part]
-        common = np.flatnonzero(many)
-        for lo in range(0, len(common), COLUMNS):
-            left, right = np.zeros((len(queries), COLUMNS)), np.zeros((COLUMNS, self.n))
-            for i, t in enumerate(common[lo : lo + COLUMNS]):
-                rows, part = parts[t]
-                left[rows, i], right[i, self.owner[part]] = 1, self.score[part]
-            out += left @ right
-        return np.round(out, 9)
-
     def neighbours(self, unit: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Unused units that share a telling term with ``unit``, best first; ties by position."""
-        total = self.scores([np.unique(unit)])[0]
+        term = np.unique(unit)
+        at = np.searchsorted(self.terms, term)
+        at[at == len(self.terms)] = 0
+        at = at[(self.terms[at] == term) & (self.idf[at] > 0)]
+        held = self.held[at]
+        postings = np.repeat(self.first[at] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        total = np.round(np.bincount(self.owner[postings], weights=self.score[postings], minlength=self.n), 9)
         total[used] = 0
         hit = np.flatnonzero(total)
         return hit[np.argsort(-total[hit], kind="stable")]
 
 
-def best(score: np.ndarray, kind: np.ndarray, left: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Scores and kinds, best first (ties by kind), until they hold ``enough`` tokens; whether some were cut."""
-    order = np.lexsort((kind, -score))
-    stop = int(np.searchsorted(np.cumsum(left[kind[order]]), enough)) + 1
-    return score[order[:stop]], kind[order[:stop]], stop < len(order)
+def pack_shard(units: list[np.ndarray], window: int = WINDOW, corpus: tuple[int, int, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(unit, start, length, sequence, offset) for every piece of a shard's units."""
+    index, sizes = Index(units, corpus), np.array([len(u) for u in units])
+    left, used = sizes.copy(), np.zeros(len(units), dtype=bool)
+    longest, at, total, sequence = np.argsort(-sizes, kind="stable").tolist(), 0, int(sizes.sum()), 0
+    while total:
+        while used[longest[at]]:
+            at += 1
+        seed = longest[at]
+        room = size = window if total >= window else 1 << (total.bit_length() - 1)
+        near = index.neighbours(units[seed], used).tolist() if left[seed] < size else []
+        for source in ([seed], near, longest[at:]):
+            for i in source:
+                if not room:
+                    break
+                if not used[i]:
+                    n = min(int(left[i]), room)
+                    yield i, int(sizes[i] - left[i]), n, sequence, size - room
+                    left[i] -= n
+                    used[i] = not left[i]
+                    room -= n
+        total -= size
+        sequence += 1
+
+
+def rare_key(terms: np.ndarray, held: np.ndarray) -> bytes:
+    """The rarest of a unit's distinct terms that other units hold as well, rarest first."""
+    shared = terms[held[terms] > 1]
+    order = np.lexsort((shared, held[shared]))[:KEY_TERMS]
+    return shared[order].astype(">u4").tobytes()
 
 
 def _encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
-    """doc_id, ids, uid, size (tokens that fill no window), kind (hash of those) and tie of each row."""
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("ids binary, uid long, size int, kind long, tie int").fields])
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    digest = lambda x, n: int.from_bytes(hashlib.blake2b(x, digest_size=n).digest(), "little", signed=True)
+    """A row for each document: checksums of the windows that it fills, and the ids of the rest.
+
+    ``first`` numbers the windows' sequences, ``uid`` the rows.
+    """
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("uid long, doc_tokens long, first long, wholes array<long>, rest binary").fields])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uid = tokenizer(path), TaskContext.get().partitionId() << 32
+        words, uid, sequence = tokenizer(path), TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 ids = np.append(words.encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                raw, size = ids.tobytes(), len(ids) % window
-                rows.append((raw, uid, size, digest(raw[4 * (len(ids) - size) :], 8), digest(repr(doc_id).encode() + raw, 4)))
-                uid += 1
-            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=schema.names)
+                whole = len(ids) // window * window
+                wholes = [zlib.crc32(ids[s : s + window].tobytes()) for s in range(0, whole, window)]
+                rows.append((uid, len(ids), sequence, wholes, ids[whole:].astype(words.small).tobytes()))
+                uid, sequence = uid + 1, sequence + len(wholes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def _rests(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(uid, kind, tokens) of the units of a batch."""
-    for uid, kind, size, raw in zip(*(batch.column(c).to_pylist() for c in ("uid", "kind", "size", "ids")), strict=True):
-        if size:
-            ids = np.frombuffer(raw, dtype="<u4")
-            yield uid, kind, ids[len(ids) - size :]
-
-
-def _holders(encoded: DataFrame, terms: int) -> np.ndarray:
+def _holders(units: DataFrame, terms: int, small: str) -> np.ndarray:
     """For each term the units of the corpus that hold it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(terms, dtype=np.int64)
         for batch in batches:
-            for _, _, unit in _rests(batch):
-                df[np.unique(unit)] += 1
+            for raw in batch.column("rest").to_pylist():
+                df[np.unique(np.frombuffer(raw, dtype=small))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
-    found = encoded.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    found = units.select("rest").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
     out = np.zeros(terms, dtype=np.int64)
     out[found["term"].to_numpy()] = found["df"].to_numpy()
     return out
 
 
-def _terms_of(encoded: DataFrame, uids: np.ndarray) -> dict[int, np.ndarray]:
-    wanted = set(uids.tolist())
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(uid, np.unique(unit).tobytes()) for uid, _, unit in _rests(batch) if uid in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["uid", "terms"])
-
-    found = encoded.mapInArrow(take, "uid long, terms binary").toArrow().to_pylist()
-    return {r["uid"]: np.frombuffer(r["terms"], dtype="<u4") for r in found}
-
-
-def _search(encoded: DataFrame, queries: list[np.ndarray], kinds: tuple[np.ndarray, np.ndarray, np.ndarray], corpus: tuple, enough: int, shard_tokens: int) -> dict[int, tuple[np.ndarray, bool]]:
-    """For each query the best unused kinds of units of the whole corpus, and whether there are more.
-
-    ``kinds`` has hashes in order, the unit that stands for each, and the tokens left of each.
-    Every query meets the index of every shard; a shard is only what is indexed at once.
-    """
-    sc = encoded.sparkSession.sparkContext
-    shared = sc.broadcast((queries, kinds, corpus))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, (hashes, stand, left), corpus = shared.value
-        none = (np.zeros(0), np.zeros(0, dtype=np.int64), False)
-        found, units, owner, tokens = [none] * len(queries), [], [], 0
-
-        def close() -> None:
-            of, total = np.array(owner), Index(units, corpus).scores(queries)
-            for q, row in enumerate(total):
-                score, kind, cut = found[q]
-                hit = np.flatnonzero(row >= score[-1] if cut else row)
-                if len(hit):
-                    *top, more = best(np.append(score, row[hit]), np.append(kind, of[hit]), left, enough)
-                    found[q] = (*top, cut or more)
-
-        for batch in batches:
-            for uid, kind, unit in _rests(batch):
-                k = int(np.searchsorted(hashes, kind))
-                if stand[k] == uid and left[k]:
-                    units.append(unit)
-                    owner.append(k)
-                    tokens += len(unit)
-                    if tokens >= shard_tokens:
-                        close()
-                        units, owner, tokens = [], [], 0
-        if units:
-            close()
-        columns = [pa.array(range(len(queries)), pa.int32()), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)), pa.array([f[2] for f in found], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, names=["q", "score", "kind", "more"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        score, kind = np.frombuffer(b"".join(pdf["score"])), np.frombuffer(b"".join(pdf["kind"]), dtype=np.int64)
-        _, kind, more = best(score, kind, shared.value[1][2], enough)
-        return pd.DataFrame({"q": pdf["q"].iloc[:1], "kind": [kind.tobytes()], "more": [more or bool(pdf["more"].any())]})
-
-    rows = encoded.mapInArrow(search, "q int, score binary, kind binary, more boolean")
-    rows = rows.groupBy("q").applyInPandas(merge, "q int, kind binary, more boolean").toArrow().to_pylist()
-    shared.destroy()
-    return {r["q"]: (np.frombuffer(r["kind"], dtype=np.int64), r["more"]) for r in rows}
-
-
-def _place(encoded: DataFrame, terms: int, window: int, shard_tokens: int) -> Iterator[pa.Table]:
-    """Tables of (uid, at, length, sequence_id, offset): the units' pieces, window after window."""
-    meta = encoded.filter("size > 0").select("uid", "size", "kind", "tie").toArrow()
-    uid, size, kind, tie = (meta[c].to_numpy() for c in ("uid", "size", "kind", "tie"))
-    if not len(uid):
-        return
-    order = np.lexsort((uid, tie, kind, -size))  # longest first; units of one kind follow each other
-    uid, size, kind = uid[order], size[order].astype(np.int64), kind[order]
-    hashes, first, of, copies = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
-    head, last, left, rest = first.copy(), first + copies, copies * size[first], size.copy()
-    corpus, total = (len(uid), int(size.sum()), _holders(encoded, terms)), int(size.sum())
-    sequence, at, batch = 0, 0, SEEDS
-    pieces: list[tuple] = []
-
-    def take(k: int, room: int, offset: int) -> int:
-        """Pieces of units of a kind into the window, as far as there is room."""
-        begin = offset
-        while room and head[k] < last[k]:
-            i = head[k]
-            n = min(int(rest[i]), room)
-            pieces.append((int(uid[i]), int(size[i] - rest[i]), n, sequence, offset))
-            rest[i] -= n
-            left[k] -= n
-            head[k] += not rest[i]
-            room, offset = room - n, offset + n
-        return offset - begin
-
-    while total:
-        alive = np.flatnonzero(rest[at:]) + at
-        seeds = of[alive][np.append(True, of[alive][1:] != of[alive][:-1])][:batch]
-        queries = _terms_of(encoded, uid[first[seeds]])
-        found = _search(encoded, [queries[u] for u in uid[first[seeds]].tolist()], (hashes, uid[first], left), corpus, AHEAD * window, shard_tokens)
-        found, done = {int(k): found[q] for q, k in enumerate(seeds)}, 0
-        while total:
-            while not rest[at]:
-                at += 1
-            k = int(of[at])
-            if k not in found:
-                break
-            room = window if total >= window else 1 << (total.bit_length() - 1)
-            near, more = found[k]
-            seed = int(rest[at])
-            if more and left[near].sum() - (seed if k in near else 0) < room - seed:
-                break  # others took what was found: search again
-            filled = min(seed, room)
-            pieces.append((int(uid[at]), int(size[at]) - seed, filled, sequence, 0))
-            rest[at] -= filled
-            left[k] -= filled
-            head[k] += not rest[at]
-            for i in near.tolist():
-                if filled == room:
-                    break
-                filled += take(i, room - filled, filled)
-            walk = at
-            while filled < room:
-                filled += take(int(of[walk]), room - filled, filled)
-                walk += 1
-            total, sequence, done = total - room, sequence + 1, done + 1
-        batch = min(2 * batch, MOST_SEEDS) if k not in found else max(2 * done, 64)
-        yield pa.table([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], names=["uid", "at", "length", "sequence_id", "offset"])
-        pieces.clear()
-
-
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    words = tokenizer(path)
+    small, terms = words.small, len(words.ends)
     encoded = cut(_encoded(docs, path, window), "encoded")
-    places = f"{shared_dir(spark).rstrip('/')}/places-{uuid.uuid4().hex}"
-    ddl = "uid long, at long, length long, sequence_id long, offset long"
-    spark.createDataFrame([], ddl).write.parquet(places)
-    for part in _place(encoded, len(tokenizer(path).ends), window, shard_tokens):
-        spark.createDataFrame(part, ddl).write.mode("append").parquet(places)
-
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
-
-    def rows(doc_id: pa.Array, made: list[tuple]) -> pa.RecordBatch:
-        """Pieces (row, ids, start, length, sequence, offset) of a batch."""
-        values = [(s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), q, o) for _, ids, s, n, q, o in made]
-        columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(6)]
-        return pa.RecordBatch.from_arrays([doc_id.take(pa.array([m[0] for m in made], pa.int64())), *columns], names=schema.names)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() + 1 << 40
+    piece = StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    names = ["doc_id", *piece.names]
+    whole = encoded.select("doc_id", "doc_tokens", "first", F.posexplode("wholes").alias("pos", "ids_crc32")).select(
+        "doc_id",
+        (F.col("pos") * F.lit(window)).cast("long").alias("start"),
+        F.lit(window).cast("long").alias("length"),
+        "ids_crc32",
+        "doc_tokens",
+        (F.col("first") + F.col("pos")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+    units = encoded.filter(F.octet_length("rest") > 0).select("doc_id", "uid", "doc_tokens", "rest")
+    n, tokens = units.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rest")), F.lit(0)) / np.dtype(small).itemsize).first()
+    held = _holders(units, terms, small)
+    corpus = docs.sparkSession.sparkContext.broadcast((n, max(int(tokens), 1), held))  # a number for each term of the tokenizer
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = corpus.value[2]
         for batch in batches:
-            made = []
-            for row, raw in enumerate(batch.column("ids").to_pylist()):
-                ids = np.frombuffer(raw, dtype="<u4")
-                for start in range(0, len(ids) // window * window, window):
-                    made.append((row, ids, start, window, sequence, 0))
-                    sequence += 1
-            yield rows(batch.column("doc_id"), made)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = [rare_key(np.unique(np.frombuffer(raw, dtype=small)), held) for raw in batch.column("rest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "key"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = (1 << 62) + (TaskContext.get().partitionId() << 40)
+        shards: list[list[tuple]] = [[]]
+        size = 0
+
+        def close(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal sequence
+            parts = [np.frombuffer(raw, dtype=small).astype("<u4") for _, _, raw in rows]
+            made, used = [], 0
+            for i, start, length, q, offset in pack_shard(parts, window, corpus.value):
+                all_tokens = rows[i][1]
+                made.append((i, all_tokens - len(parts[i]) + start, length, zlib.crc32(parts[i][start : start + length].tobytes()), all_tokens, sequence + q, offset))
+                used = q + 1
+            sequence += used
+            doc_id = pa.array([r[0] for r in rows], id_type).take(pa.array([m[0] for m in made], pa.int64()))
+            return pa.RecordBatch.from_arrays([doc_id, *(pa.array([m[i] for m in made], pa.int64()) for i in range(1, 7))], names=names)
+
+        id_type = None
         for batch in batches:
-            made = []
-            for row, (raw, at, n, q, o) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "at", "length", "sequence_id", "offset")), strict=True)):
-                ids = np.frombuffer(raw, dtype="<u4")
-                made.append((row, ids, len(ids) // window * window + at, n, q, o))
-            yield rows(batch.column("doc_id"), made)
-
-    placed = encoded.join(spark.read.schema(ddl).parquet(places), "uid").select("doc_id", "ids", "at", "length", "sequence_id", "offset")
-    return encoded.select("doc_id", "ids").mapInArrow(whole, schema).unionByName(placed.mapInArrow(parts, schema))
+            id_type = batch.schema.field("doc_id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest")), strict=True):
+                shards[-1].append(row)
+                size += len(row[2]) // np.dtype(small).itemsize
+                if size >= shard_tokens:
+                    if len(shards) > 1:
+                        yield close(shards.pop(0))
+                    shards.append([])
+                    size = 0
+        if len(shards) > 1 and 2 * size < shard_tokens:  # the last shard joins the one before it
+            shards[-2:] = [shards[-2] + shards[-1]]
+        for rows in shards:
+            if rows:
+                yield close(rows)
+
+    keyed = cut(units.mapInArrow(key, StructType([*units.schema.fields, *StructType.fromDDL("key binary").fields])), "keyed")
+    parts = max(1, min(MOST_PARTS, -(-int(tokens) // (PART_SHARDS * shard_tokens))))
+    dealt = keyed.repartitionByRange(parts, "key", "uid").sortWithinPartitions("key", "uid")
+    packed = dealt.select("doc_id", "doc_tokens", "rest").mapInArrow(pack, StructType([docs.schema["doc_id"], *piece.fields]))
+    return whole.unionByName(packed)
 
 
 def op7_packing(spark, sf_dir):
