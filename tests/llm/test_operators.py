@@ -244,11 +244,47 @@ def test_near_duplicates(spark, none, k, percent):
 def test_blocks_link_by_every_text_of_an_id(spark):
     one, two = "alpha beta gamma delta epsilon zeta", "uno due tre quattro cinque sei"
     texts = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, "other words that nobody else has")], "rep long, text string")
-    members = spark.createDataFrame([(9, 4, i, i) for i in (1, 2, 3, 4)], "key long, c long, rep long, comp long")
+    members = spark.createDataFrame([(9, i, i, 4) for i in (1, 2, 3, 4)], "key long, rep long, comp long, n long")
     got = {tuple(sorted(r)) for r in near_dedup._blocks(members, texts, 3, 85).collect()}
     assert got == {(1, 2), (1, 3)}
 
 
+@pytest.mark.parametrize("block,size", [(2, 1 << 18), (512, 60), (3, 40)])
+def test_blocks_lose_no_link(spark, monkeypatch, block, size):
+    """However a crowded bucket is dealt, its components come together as by all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SIZE", size)
+    rng = np.random.default_rng(block + size)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        words = list(base) if i % 3 else [f"v{i % 5}x{j}" for j in range(25)]
+        words[int(rng.integers(0, len(words)))] = f"y{i % 9}"
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    comp = [7 if i % 3 == 1 else i for i in range(40)]  # a large component, and singles
+    comp[7] = 7
+    members = spark.createDataFrame([(1, i, comp[i], 28) for i in range(40)] + [(2, i, comp[i], 28) for i in range(0, 40, 7)], "key long, rep long, comp long, n long")
+    links = near_dedup._blocks(members, texts, 3, 85).collect()
+    sets = [set(near_dedup.text_set(t.encode(), 3).tolist()) for _, t in rows]
+
+    def joined(pairs):
+        root = dict(enumerate(range(40)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in [*((i, comp[i]) for i in range(40)), *pairs]:
+            root[top(a)] = top(b)
+        return [top(i) for i in range(40)]
+
+    every = [(i, j) for i in range(40) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got, want = joined(links), joined(every)
+    assert [[x == y for x in got] for y in got] == [[x == y for x in want] for y in want] and set(map(tuple, links)) <= {p for i, j in every for p in ((i, j), (j, i))}
+
+
 def test_near_duplicates_empty(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
