@@ -14,7 +14,7 @@ from vacanta.schema import POSTINGS
 DATA = "/root/testdata/sf0.001"
 NOW = datetime(2026, 7, 29, 12, tzinfo=timezone.utc)
 #: Whole folds take long; their own tests are in test_corpus.
-SLOW = {"l09_fold_four_runs"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -172,12 +172,6 @@ def k07(s, d):
     return _table(s, d, "part").select("p_partkey", pay.label(size, size + 5, F.lit("USD"), F.lit("hour"), F.lit("")).alias("label"))
 
 
-@register("k10_churn_report")
-def k10(s, d):
-    churn = _runs(s, d).groupBy(F.col("status").alias("outcome")).agg(F.count("*").alias("n"))
-    return sinks.churn_report(churn, churn.select(F.col("outcome").alias("verdict"), "n"))
-
-
 @register("t02_union_distinct", "SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN url <> '' THEN url ELSE company || chr(0) || title || chr(0) || location END FROM v_postings)")
 def t02(s, d):
     rows = typed_postings(s, d)

@@ -77,7 +77,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(sql: str) -> str:
-    """``sql`` after the views that it names."""
+    """``sql`` after the views that it names; as it is where it starts with its own."""
+    if sql.startswith("WITH "):
+        return sql
     names = [n for n in VIEWS if n in sql or (n == "v_sources" and "v_employers" in sql)]
     return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in names)} {sql}" if names else sql
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,8 +49,16 @@ def squash(x: Column) -> Column:
     return F.regexp_replace(fold(x), r"[^\p{L}\p{Nd}]", "")
 
 
+def bind(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def _normal(raw: Column, exact: dict[str, str], values: Sequence[str], words: Sequence[tuple[str, str]]) -> Column:
-    key = squash(raw)
+    return bind(squash(raw), lambda key: _named(key, exact, values, words))
+
+
+def _named(key: Column, exact: dict[str, str], values: Sequence[str], words: Sequence[tuple[str, str]]) -> Column:
     out = F.when(F.coalesce(key, F.lit("")) == "", F.lit(None).cast("string"))
     for spelt, value in exact.items():
         out = out.when(key == spelt, F.lit(value))
@@ -71,14 +79,22 @@ def workplace_type(raw: Column) -> Column:
     return _normal(raw, WORKPLACE_EXACT, WORKPLACE_TYPES, WORKPLACE_WORDS)
 
 
+def has_term(text: Column, terms: Sequence[str]) -> Column:
+    """Whether the folded text holds one of the folded terms; the text is folded once."""
+    text = fold(F.coalesce(text, F.lit("")))
+    if len(terms) == 1:
+        return F.contains(text, F.lit(terms[0]))
+    quoted = ["\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms]
+    return F.rlike(text, F.lit("|".join(quoted))) if terms else F.lit(False)
+
+
 def looks_remote(location: Column, title: Column) -> Column:
     """A remote term in location or title."""
-    place, name = fold(F.coalesce(location, F.lit(""))), fold(F.coalesce(title, F.lit("")))
-    return either([F.contains(x, F.lit(t)) for t in REMOTE_TERMS for x in (place, name)])
+    return has_term(F.concat_ws("\0", location, title), REMOTE_TERMS)
 
 
 def looks_hybrid(location: Column, title: Column) -> Column:
-    return either([F.contains(fold(F.coalesce(x, F.lit(""))), F.lit("hybrid")) for x in (location, title)])
+    return has_term(F.concat_ws("\0", location, title), ["hybrid"])
 
 
 def is_remote(remote: Column, location: Column, title: Column) -> Column:

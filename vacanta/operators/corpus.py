@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from ..functions.hashes import corpus_id, dedupe_key, descriptor
 from ..functions.urls import normalize_url_udf
 from ..schema import CORPUS_ROWS, CORPUS_SOURCES, FLAT, POSTING
 from .dedupe import first_wins
+from .storage import cut, hadoop_path
 
 #: Versions of the stored layout, samples kept per source, runs kept in the history.
 FORMAT, MIN_READER, IDENTITY, TRAILING, RUNS_KEPT = 1, 1, 1, 7, 90
@@ -288,15 +288,7 @@ def _lapsed(rows: DataFrame, sources: DataFrame, at: Column, policy: Policy, ver
 def materialised(done: Generation) -> Generation:
     """The same generation written to the shared checkpoint folder: a later fold starts from
     the files, so plans don't grow from run to run."""
-    spark = done.rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = f"{root.rstrip('/')}/corpus-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    rows, sources, verdicts = cut(done.rows, "rows"), cut(done.sources, "sources"), cut(done.verdicts, "verdicts")
+    rows, sources, verdicts = cut(done.rows, "corpus-rows"), cut(done.sources, "corpus-sources"), cut(done.verdicts, "corpus-verdicts")
     return Generation(rows, sources, rows.groupBy("outcome").agg(F.count("*").alias("n")), verdicts)
 
 
@@ -359,15 +351,10 @@ def flat(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ storage
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def write_text(spark: SparkSession, name: str, text: str) -> None:
     """A small file, written beside its place and renamed into it."""
-    path, fs = _path(spark, name)
-    part, _ = _path(spark, name + ".part")
+    path, fs = hadoop_path(spark, name)
+    part, _ = hadoop_path(spark, name + ".part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -378,7 +365,7 @@ def write_text(spark: SparkSession, name: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, name: str) -> str | None:
-    path, fs = _path(spark, name)
+    path, fs = hadoop_path(spark, name)
     if not fs.exists(path):
         return None
     stream = fs.open(path)

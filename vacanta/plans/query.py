@@ -1,7 +1,7 @@
 """The query vocabulary: a conjunction of eleven predicates, and its employer twin.
 
 Terms are folded once on the driver and reach the plan as literals; conditions stand in
-the order flags, numbers, text. Unknown values never satisfy a filter; blank terms mean
+the order instants, numbers, text, heuristics. Unknown values never satisfy a filter; blank terms mean
 no constraint.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pay, vocab
-from ..functions.vocab import either, fold
+from ..functions.vocab import either
 
 
 def terms(values: Iterable[str]) -> list[str]:
@@ -26,8 +26,7 @@ def terms(values: Iterable[str]) -> list[str]:
 
 def any_term(x: Column, wanted: list[str]) -> Column:
     """Whether a folded column holds one of the terms."""
-    text = fold(F.coalesce(x, F.lit("")))
-    return either([F.contains(text, F.lit(t)) for t in wanted])
+    return vocab.has_term(x, wanted)
 
 
 @dataclass(frozen=True)
@@ -54,23 +53,24 @@ class Query:
         c = F.col
         pay_of = lambda f: c("compensation")[f]
         out: list[Column] = []
-        if self.remote:
-            out.append(vocab.is_remote(c("remote"), c("location"), c("title")))
+        # cheap tests first: a row that fails one is not asked the others
+        if self.posted_since is not None:
+            out.append(F.coalesce(c("posted_at") >= F.lit(self.posted_since), F.lit(False)))
         if self.has_compensation:
             out.append(c("compensation").isNotNull() & pay.has_pay(pay_of("min"), pay_of("max"), pay_of("summary")))
         if self.min_annual > 0:
             out.append(F.coalesce(pay.annual_max(pay_of("min"), pay_of("max"), pay_of("period")) >= self.min_annual, F.lit(False)))
-        if types := terms(self.employment_types):
-            out.append(F.coalesce(c("employment_type").isin(types), F.lit(False)))
-        if self.posted_since is not None:
-            out.append(F.coalesce(c("posted_at") >= F.lit(self.posted_since), F.lit(False)))
         for column, wanted in (("title", self.titles), ("location", self.locations), ("company", self.companies)):
             if found := terms(wanted):
                 out.append(any_term(c(column), found))
         if found := terms(self.exclude_titles):
             out.append(~any_term(c("title"), found))
         if found := terms(self.departments):
-            out.append(any_term(c("department"), found) | any_term(c("team"), found))
+            out.append(any_term(F.concat_ws("\0", "department", "team"), found))
+        if self.remote:
+            out.append(vocab.is_remote(c("remote"), c("location"), c("title")))
+        if types := terms(self.employment_types):
+            out.append(F.coalesce(c("employment_type").isin(types), F.lit(False)))
         if types := terms(self.workplace_types):
             guess = []
             if "remote" in types:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import more  # noqa: F401  (registers its queries)
+from .catalog import lifecycle, more  # noqa: F401  (they register their queries)
 from .catalog.queries import QUERIES, SQL, flagship
 
 FLAGSHIP = flagship
