@@ -1,5 +1,6 @@
 """Vocabulary, pay, names, URLs, dates, ages."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -129,3 +130,15 @@ def test_payload_fields(spark):
     assert df.select(text.requisition(F.col("x"))).first()[0] == "R-1234"
     df = spark.createDataFrame([("13/2",)], "x string")
     assert df.select(text.location(F.array(F.lit(" a "), F.lit(""), F.lit("a"), F.lit("b")))).first()[0] == "a, b"
+
+
+def test_url_identity_equals_the_plain_form(spark):
+    rng = random.Random(3)
+    parts = {
+        "scheme": ["https://", "HTTP://", "ftp+x://", "", "mailto:"], "host": ["Jobs.Example.com", "a.b:8080", "x:99999", "user@h.org", "ü.de", "h"],
+        "path": ["", "/", "//", "/a/b/", "/A%20b", "/é", "/a b", "/a;v=1/"], "query": ["", "?", "?b=2&a=1", "?utm_x=1", "?utm_x=1&a=", "?a", "?a=1=2", "?ref=x&z=9&Z=8", "?q=a+b&q=0", "?a=%zz", "?a=1;b=2", "?a=*"],
+        "end": ["", "#f", "#f g", "#%zz"],
+    }
+    found = ["".join(rng.choice(v) for v in parts.values()) for _ in range(1500)] + ["", " https://x.org/a ", "https://x.org/a\n", None]
+    rows = spark.createDataFrame([(u,) for u in found], "url string").select("url", urls.url_identity(F.col("url")).alias("form")).collect()
+    assert [r["form"] for r in rows] == [urls.normalize_url(r["url"]) if r["url"] is not None else "" for r in rows]

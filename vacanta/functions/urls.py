@@ -83,6 +83,26 @@ def normalize_url_udf(urls: pd.Series) -> pd.Series:
     return urls.map(normalize_url)
 
 
+#: URLs whose form needs no decoding: scheme, host and port, path, query of plain pairs, fragment.
+_PLAIN = r"^[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.-]+(:[0-9]{1,4})?(/[^?#%\x00-\x20\x7f-\xa0]*)?(\?[A-Za-z0-9._~+-]+=[A-Za-z0-9._~+-]*(&[A-Za-z0-9._~+-]+=[A-Za-z0-9._~+-]*)*)?(#[!-~]*)?$"
+
+
+def url_identity(url: Column) -> Column:
+    """``normalize_url`` as a column: plain URLs by built-ins, only others go to Python."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    base, query = F.regexp_replace(bare, r"\?.*$", ""), F.regexp_extract(bare, r"\?(.*)$", 1)
+    site = F.lower(F.regexp_extract(base, r"^([^:]+://[^/]+)", 1))
+    path = F.regexp_extract(base, r"^[^:]+://[^/]+(.*)$", 1)
+    path = F.when(F.char_length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
+    name = lambda p: F.regexp_extract(p, "^[^=]*", 0)
+    kept = F.filter(F.split(query, "&"), lambda p: ~name(p).isin(*TRACKING) & ~F.startswith(name(p), F.lit(TRACKING_PREFIX)))
+    ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("name"), i.alias("at"), p.alias("pair"))))
+    pairs = F.array_join(F.transform(ordered, lambda x: x["pair"]), "&")
+    whole = F.concat(site, path, F.when((query != "") & (pairs != ""), F.concat(F.lit("?"), pairs)).otherwise(""))
+    plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+    return F.when(plain, whole).otherwise(normalize_url_udf(F.when(~plain, url)))
+
+
 @F.pandas_udf(StringType())
 def sweep_url_udf(urls: pd.Series) -> pd.Series:
     return urls.map(sweep_url)

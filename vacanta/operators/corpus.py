@@ -11,14 +11,15 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashes import corpus_id, dedupe_key, descriptor
-from ..functions.urls import normalize_url_udf
+from ..functions.urls import url_identity
 from ..schema import CORPUS_ROWS, CORPUS_SOURCES, FLAT, POSTING
-from .dedupe import first_wins
+from .dedupe import first_wins, key_hash
 from .storage import cut, hadoop_path
 
 #: Versions of the stored layout, samples kept per source, runs kept in the history.
@@ -98,14 +99,16 @@ def identify(postings: DataFrame, unsafe: DataFrame | None = None, order: str =
         {
             "__external": text("external_id"),
             "__requisition": text("requisition_id"),
-            "__url": F.when(F.coalesce(c("url"), F.lit("")) != "", normalize_url_udf(c("url"))),
+            "__url": F.when(F.coalesce(c("url"), F.lit("")) != "", url_identity(c("url"))),
             "__descriptor": descriptor(c("title"), c("location")),
         }
     )
-    # Distinct values are counted in two aggregations that combine before their shuffles.
+    # Distinct values, as 128-bit hashes, are counted in two aggregations that combine before
+    # their shuffles.
     rungs = LADDER[:3]
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rung"), c(f"__{r}").alias("value")) for r in rungs])).alias("p")
-    per_value = rows.select("platform", "key", pairs).filter("p.value IS NOT NULL").groupBy("platform", "key", "p.rung", "p.value").agg(F.count("*").alias("n"))
+    value = lambda r: F.struct(F.lit(r).alias("rung"), c(f"__{r}").isNotNull().alias("has"), *[h.alias(n) for h, n in zip(key_hash(c(f"__{r}")), "ab", strict=True)])
+    pairs = rows.select("platform", "key", F.explode(F.array(*[value(r) for r in rungs])).alias("p")).filter("p.has")
+    per_value = pairs.groupBy("platform", "key", "p.rung", "p.a", "p.b").agg(F.count("*").alias("n"))
     usable = per_value.groupBy("platform", "key").agg(*[(F.max(F.when(c("rung") == r, c("n"))) <= 1).alias(f"use_{r}") for r in rungs])
     rows = rows.join(usable, ["platform", "key"], "left")
     sticky = F.lit(False)
@@ -137,12 +140,14 @@ def changed(old: Column, new: Column) -> Column:
 
 @dataclass
 class Generation:
-    """What a fold gives: rows with their outcome, next source states, churn, run record."""
+    """What a fold gives: rows with their outcome, next source states, churn, run record.
+    ``states`` are the source states without the counts of their open rows."""
 
     rows: DataFrame
     sources: DataFrame
     churn: DataFrame
     verdicts: DataFrame
+    states: DataFrame
 
 
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -176,12 +181,14 @@ def fold(
     # Verdicts by the prior state of each source
     memory = states.select("platform", "key", "trailing", "empty_streak", "last_qualifying", "requisition_unsafe")
     verdicts = runs.join(memory, ["platform", "key"], "left").withColumn("verdict", verdict(policy)).withColumn("qualifies", c("verdict") == "ok")
+    # Verdicts and identities serve rows and source states alike: each is computed once.
+    verdicts = cut(verdicts, "corpus-verdicts")
     seen = verdicts.select("platform", "key", "qualifies", c("last_qualifying").alias("was_qualifying"))
     # Postings of sources that the run doesn't name are rejected
     fields = [f.name for f in POSTING.fields if f.name != "source"]
     flat = postings.select(*fields, c("source.platform").alias("platform"), c("source.key").alias("key"), "_seq")
     known = flat.join(runs.select("platform", "key"), ["platform", "key"], "left_semi")
-    found = identified(known, memory.select("platform", "key", "requisition_unsafe"))
+    found = cut(identified(known, memory.select("platform", "key", "requisition_unsafe")), "corpus-found")
     observed = found.select(
         "platform",
         "key",
@@ -278,18 +285,23 @@ def _lapsed(rows: DataFrame, sources: DataFrame, at: Column, policy: Policy, ver
     closure = F.struct(F.coalesce("last_seen", "last_qualifying").alias("last_seen"), at.alias("confirmed_at"), reason.alias("reason"))
     joined = joined.withColumn("outcome", F.when(due, "lapsed").otherwise(c("outcome"))).withColumn("closed", F.when(due, closure).otherwise(c("closed")))
     joined = joined.withColumn("state", state(c("closed"), c("last_qualifying"), at, policy))
-    still = joined.filter("state = 'open'").groupBy("platform", "key").agg(F.count("*").cast("int").alias("open"))
-    sources = sources.withColumns({"platform": c("source.platform"), "key": c("source.key")}).join(still, ["platform", "key"], "left")
-    sources = sources.withColumn("open", F.coalesce("open", F.lit(0))).drop("platform", "key")
     kept = joined.drop("platform", "key", "last_qualifying", "retired")
-    return Generation(kept, sources, kept.groupBy("outcome").agg(F.count("*").alias("n")), verdicts)
+    return Generation(kept, with_open(sources, kept), kept.groupBy("outcome").agg(F.count("*").alias("n")), verdicts, sources)
+
+
+def with_open(states: DataFrame, rows: DataFrame) -> DataFrame:
+    """Source states with how many of their rows are open."""
+    still = rows.filter("state = 'open'").groupBy(F.col("posting.source").alias("__s")).agg(F.count("*").cast("int").alias("open"))
+    joined = states.join(still, F.col("source") == F.col("__s"), "left").drop("__s")
+    return joined.withColumn("open", F.coalesce("open", F.lit(0)))
 
 
 def materialised(done: Generation) -> Generation:
     """The same generation written to the shared checkpoint folder: a later fold starts from
     the files, so plans don't grow from run to run."""
-    rows, sources, verdicts = cut(done.rows, "corpus-rows"), cut(done.sources, "corpus-sources"), cut(done.verdicts, "corpus-verdicts")
-    return Generation(rows, sources, rows.groupBy("outcome").agg(F.count("*").alias("n")), verdicts)
+    rows = cut(done.rows, "corpus-rows")
+    sources = cut(with_open(done.states, rows), "corpus-sources")
+    return Generation(rows, sources, rows.groupBy("outcome").agg(F.count("*").alias("n")), done.verdicts, done.states)
 
 
 def state_counts(rows: DataFrame) -> DataFrame:
@@ -375,12 +387,27 @@ def read_text(spark: SparkSession, name: str) -> str | None:
         stream.close()
 
 
-def digest(rows: DataFrame) -> str:
-    """A digest of the rows, whatever their partitions: sums of row hashes."""
+def _digest_columns(rows: DataFrame) -> list[Column]:
     text = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
     word = lambda i: F.conv(F.substring(text, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
-    got = rows.agg(F.count("*"), *[F.sum(word(i)) for i in range(4)]).first()
-    return "-".join(str(x or 0) for x in got)
+    return [F.count("*").alias("rows"), *[F.sum(word(i)).alias(f"sum{i}") for i in range(4)]]
+
+
+def _digest_text(got) -> str:
+    return "-".join(str(got[x] or 0) for x in ("rows", "sum0", "sum1", "sum2", "sum3"))
+
+
+def digest(rows: DataFrame) -> str:
+    """A digest of the rows, whatever their partitions: sums of row hashes."""
+    return _digest_text(rows.agg(*_digest_columns(rows)).first())
+
+
+def _summary(rows: DataFrame) -> tuple[dict, dict, str]:
+    """Counts by state, counts by outcome and the digest of stored rows: two passes."""
+    outcomes = ("new", "reopened", "changed", "unchanged", "closed", "missing", "untouched", "lapsed")
+    got = rows.agg(*_digest_columns(rows), *[F.count_if(F.col("outcome") == x).alias(f"n_{x}") for x in outcomes]).first()
+    churn = {x: got[f"n_{x}"] for x in outcomes if got[f"n_{x}"]}
+    return state_counts(rows).first().asDict(), churn, _digest_text(got)
 
 
 def publish(directory: str, number: int, generation: Generation, run_at: datetime, history: list[dict] | None = None) -> dict:
@@ -390,17 +417,17 @@ def publish(directory: str, number: int, generation: Generation, run_at: datetim
     """
     spark, c = generation.rows.sparkSession, F.col
     rows = generation.rows.withColumns({"platform": c("posting.source.platform"), "source_key": c("posting.source.key")})
-    at = f"{directory.rstrip('/')}/gen={number}"
+    folder = f"gen={number}-{uuid.uuid4().hex[:8]}"  # a run that was cut short leaves no rows behind in it
+    at = f"{directory.rstrip('/')}/{folder}"
     dealt = rows.repartitionByRange("platform", "source_key", "id").sortWithinPartitions("platform", "source_key", "id")
-    dealt.write.mode("overwrite").parquet(f"{at}/postings")
-    generation.sources.write.mode("overwrite").parquet(f"{at}/sources")
+    dealt.write.parquet(f"{at}/postings")
     stored = spark.read.parquet(f"{at}/postings")
-    counts = state_counts(stored).first().asDict()
-    churn = {r["outcome"]: r["n"] for r in stored.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    with_open(generation.states, stored).write.parquet(f"{at}/sources")
+    counts, churn, checksum = _summary(stored)
     record = {"run_at": run_at.isoformat(), "counts": counts, "churn": churn}
     manifest = {
         "format": FORMAT, "min_reader": MIN_READER, "identity": IDENTITY, "generation": number, "run_at": run_at.isoformat(), "rows": counts["rows"],
-        "counts": counts, "digest": digest(stored), "runs": [*(history or []), record][-RUNS_KEPT:],
+        "counts": counts, "digest": checksum, "folder": folder, "runs": [*(history or []), record][-RUNS_KEPT:],
     }
     write_text(spark, f"{directory.rstrip('/')}/_manifest.json", json.dumps(manifest))
     return manifest
@@ -414,7 +441,7 @@ def open_corpus(spark: SparkSession, directory: str) -> tuple[dict | None, DataF
     manifest = json.loads(text)
     if manifest["min_reader"] > FORMAT:
         raise ValueError(f"this corpus needs a reader of version {manifest['min_reader']}")
-    at = f"{directory.rstrip('/')}/gen={manifest['generation']}"
+    at = f"{directory.rstrip('/')}/{manifest['folder']}"
     rows, sources = spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/sources")
     if (n := rows.count()) != manifest["rows"]:
         raise ValueError(f"the corpus has {n} rows; its manifest says {manifest['rows']}")

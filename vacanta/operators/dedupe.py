@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from ..functions.hashes import dedupe_key, identity
 
 
+def key_hash(*keys: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a key, nulls and all: fixed width, so grouping by them is cheap."""
+    parts = [x for k in keys for x in (k.isNull(), k)]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+
+
 def first_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order.
 
-    The least row is found by an aggregate that combines before the shuffle, so a key
-    with very many rows costs no task more than its partial results.
+    Rows are ranked within 128-bit hashes of their keys. As only the first rank is asked
+    for, Spark ranks before the shuffle as well and sends one row a key from each task, so
+    a key with very many rows makes no large task.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
-    keyed = df.withColumns({n: F.col(k) if isinstance(k, str) else k for n, k in zip(names, keys, strict=True)})
-    rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
-    best = keyed.groupBy(*names).agg(F.min_by(F.struct(*df.columns), rank).alias("__row"))
-    return best.select("__row.*")
+    a, b = key_hash(*[F.col(k) if isinstance(k, str) else k for k in keys])
+    rank = F.row_number().over(W.partitionBy("__a", "__b").orderBy(*order))
+    ranked = df.withColumns({"__a": a, "__b": b}).withColumn("__rank", rank)
+    return ranked.filter(F.col("__rank") == 1).drop("__a", "__b", "__rank")
 
 
 def dedupe(postings: DataFrame, order: Sequence[str | Column] = ("_seq",)) -> DataFrame:
@@ -65,10 +71,12 @@ def with_keys(postings: DataFrame) -> DataFrame:
 
 def multi_site(postings: DataFrame, order: str = "_seq") -> DataFrame:
     """Rows that share a URL become one: remote if any is, sites in order of appearance."""
-    sites = F.array_sort(F.collect_list(F.struct(order, "location")))
-    return postings.groupBy("url").agg(
-        F.coalesce(F.bool_or("remote"), F.lit(False)).alias("remote"),
-        F.array_join(F.array_distinct(F.filter(F.transform(sites, lambda s: s["location"]), lambda x: x != "")), "; ").alias("location"),
-        F.min_by("title", order).alias("title"),
-        F.count("*").alias("sites"),
+    # distinct sites with their first appearance come first: the list has no repeated ones
+    named = postings.filter(F.coalesce("location", F.lit("")) != "").groupBy("url", "location").agg(F.min(order).alias("at"))
+    sites = named.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "location"))), lambda s: s["location"]).alias("sites"))
+    merged = postings.groupBy("url").agg(
+        F.coalesce(F.bool_or("remote"), F.lit(False)).alias("remote"), F.min_by("title", order).alias("title"), F.count("*").alias("sites")
     )
+    names = sites.select(F.col("url").alias("__url"), F.array_join("sites", "; ").alias("location"))
+    joined = merged.join(names, F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
+    return joined.select("url", "remote", F.coalesce("location", F.lit("")).alias("location"), "title", "sites")
