@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashes, names, pay, text, urls, vocab
-from ..functions.paytext import description_pay_udf, text_pay_udf
 from ..operators import corpus, dedupe, employers, record, registry, resolve, schedule, search, shards, sinks
 from ..plans.query import EmployerFilter, Query
 from .views import oracle, typed_postings, view
@@ -386,20 +385,6 @@ def f41(s, d):
     return rows.select("seq", "tie", F.round(pay.annual_max(p("min"), p("max"), p("period")), 2).alias("annual_max"), F.round(pay.annual_min(p("min"), p("max"), p("period")), 2).alias("annual_min"))
 
 
-@register("f44_pay_from_text")
-def f44(s, d):
-    rows = view(s, d, "v_postings")
-    words = F.format_string("Base salary range: $%.2f - $%.2f per year. <b>401(k)</b> match.", F.col("pay_min") * 50, F.col("pay_min") * 90)
-    return rows.select("seq", "tie", text_pay_udf(words).alias("pay")).select("seq", "tie", "pay.*")
-
-
-@register("f47_pay_from_markup")
-def f47(s, d):
-    rows = view(s, d, "v_postings")
-    words = F.format_string('<p>x</p><div class="pay-range"><span>$%.0f</span>&mdash;<span>$%.0f USD</span></div>', F.col("pay_min") * 50, F.col("pay_min") * 90)
-    return rows.select("seq", "tie", description_pay_udf(words).alias("pay")).select("seq", "tie", "pay.*")
-
-
 @register("f60_posted_since", "SELECT count(*) AS n FROM v_postings WHERE posted_at >= TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 300 DAY")
 def f60(s, d):
     from ..plans.query import parse_posted_since
@@ -797,17 +782,7 @@ def k11(s, d):
     return sinks.shard_lines(typed_postings(s, d))
 
 
-@register("k01_json_lines")
-def k01(s, d):
-    return sinks.json_lines(typed_postings(s, d).drop("seq", "tie", "key"))
-
-
 @register("k17_record_row", "SELECT '01/31/24 ' || CAST(count(*) AS STRING) || ' ' || CAST(count(DISTINCT company) AS STRING) AS value FROM v_postings")
 def k17(s, d):
     rows = view(s, d, "v_postings").agg(F.count("*").alias("postings"), F.countDistinct("company").alias("companies"))
     return record.record_row(rows, instant("2024-01-31T00:00:00").date(), "complete")
-
-
-@register("k20_result_items")
-def k20(s, d):
-    return sinks.result_items(typed_postings(s, d)).select("seq", "tie", "pay")

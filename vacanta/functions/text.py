@@ -13,7 +13,8 @@ def facet(facets: Column, labels: list[str], exclude: list[str] = ()) -> Column:
     (F12). ``facets`` is an array of (label, value)."""
     name = lambda f: F.lower(f["label"])
     none = lambda f: ~F.exists(F.array(*[F.lit(x.lower()) for x in exclude]), lambda e: F.contains(name(f), e)) if exclude else F.lit(True)
-    picks = [F.try_element_at(F.filter(facets, lambda f, x=x: F.contains(name(f), F.lit(x.lower())) & none(f) & (f["value"] != "")), F.lit(1))["value"] for x in labels]
+    wanted = lambda x: lambda f: F.contains(name(f), F.lit(x.lower())) & none(f) & (f["value"] != "")
+    picks = [F.try_element_at(F.filter(facets, wanted(x)), F.lit(1))["value"] for x in labels]
     return F.coalesce(*picks)
 
 

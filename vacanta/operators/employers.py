@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.query import matching_sources
+from ..sources import readers
+from . import search
+
+EMPLOYER_COLUMNS = "platform key company legal_name cik ticker exchange sic industry public employees founded headquarters parent wikidata_id method confidence".split()
+WAGE_COLUMNS = "platform key soc occupation area source n p25 p50 p75 as_of".split()
 #: Rows up to which employer facts are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -46,6 +55,41 @@ def attach(postings: DataFrame, employers: DataFrame, broadcast_rows: int = BROA
     return left.join(facts, ["__p", "__k"], "left").drop("__p", "__k")
 
 
+@dataclass
+class Lookup:
+    """A page of sources with their employer, and over all matches how many there are and how
+    many of them have one."""
+
+    rows: DataFrame
+    counts: DataFrame
+
+
+def lookup(sources: DataFrame, employers: DataFrame, companies: Iterable[str], limit: int = 0) -> Lookup:
+    """Employers of the sources whose company or key holds a term (E9, O11). ``sources`` has
+    platform, key and company; the page goes by company, platform and key."""
+    found = matching_sources(sources, companies).withColumn("source", F.struct("platform", "key"))
+    both = attach(found, employers)
+    page = search.page(both.withColumn("source_key", F.col("key")), search.ORDERS["sources"](), search.clamp_tool(limit))
+    counts = both.agg(F.count("*").alias("matched"), F.count_if(F.col("employer").isNotNull()).alias("known"))
+    return Lookup(page.drop("source", "source_key"), counts)
+
+
+def load(spark: SparkSession, generated: str, manual: str | None = None, wages: str | None = None) -> DataFrame:
+    """Employer facts from TSV files: generated rows, overlaid by hand, with their wages."""
+    read = lambda path: _employer_rows(readers.tsv(spark, path, EMPLOYER_COLUMNS))
+    rows = read(generated) if manual is None else overlay(read(generated), read(manual))
+    if wages is None:
+        return rows
+    kinds = {"n": "int", **dict.fromkeys(("p25", "p50", "p75"), "double")}
+    return attach_wages(rows, readers.typed(readers.tsv(spark, wages, WAGE_COLUMNS), kinds))
+
+
+def _employer_rows(cells: DataFrame) -> DataFrame:
+    typed = readers.typed(cells, {"employees": "int", "founded": "int", "public": "boolean"})
+    made = typed.withColumns({"source": F.struct("platform", "key"), "match": F.struct("method", "confidence")})
+    return made.drop("platform", "key", "method", "confidence")
+
+
 def flatten(postings: DataFrame) -> DataFrame:
     """P29."""
     return postings.drop("employer")

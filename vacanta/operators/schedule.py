@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import lines_id
-from .corpus import percentile_rank, trailing_median
+from .corpus import trailing_median
 
 # Fixed values.
 DEFAULT_COST_MS, MIN_COST_MS, MAX_COST_MS = 1_000, 1, 30 * 60 * 1_000
@@ -66,12 +66,14 @@ def estimates(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cost and yield by platform, and over all (G20): the median cost, the 75th percentile yield."""
     costs = state.select("platform", F.explode("duration_ms").alias("x")).select("platform", clamp_cost(F.col("x")).alias("cost"))
     yields = state.select("platform", F.explode("postings").alias("x")).select("platform", F.greatest("x", F.lit(0)).alias("yield"))
-    agg = lambda df, keys: df.groupBy(*keys)
-    cost = costs.groupBy("platform").agg(trailing_median(F.collect_list("cost")).alias("p_cost"))
-    out = yields.groupBy("platform").agg(percentile_rank(F.collect_list("yield"), 75).alias("p_yield"))
-    over = costs.agg(trailing_median(F.collect_list("cost")).alias("g_cost"), F.count("*").alias("n_cost")).crossJoin(
-        yields.agg(percentile_rank(F.collect_list("yield"), 75).alias("g_yield"), F.count("*").alias("n_yield"))
-    )
+    # both aggregates count by value: no list of all samples of a platform, or of all platforms
+    middle = F.floor(F.percentile("cost", 0.5)).cast("int")
+    rank75 = F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY yield)").cast("int")
+    cost = costs.groupBy("platform").agg(middle.alias("p_cost"))
+    out = yields.groupBy("platform").agg(rank75.alias("p_yield"))
+    over = costs.agg(F.coalesce(middle, F.lit(0)).alias("g_cost"), F.count("*").alias("n_cost")).crossJoin(
+        yields.agg(F.coalesce(rank75, F.lit(0)).alias("g_yield"), F.count("*").alias("n_yield"))
+    )  # a row each
     return cost.join(out, "platform", "full_outer"), over
 
 

@@ -47,6 +47,11 @@ def tool_page(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame
     return page(df, order, n), F.col("n") > n
 
 
+def browser_states(include_closed: bool = False) -> list[str]:
+    """The states that a browser's search shows unless it asks for closed rows too."""
+    return ["open", "stale", *(["closed", "lapsed"] if include_closed else [])]
+
+
 def matched_by_state(df: DataFrame) -> DataFrame:
     """How many rows match in each lifecycle state."""
     return df.groupBy("state").agg(F.count("*").alias("matched"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashes import lines_id, source_set_id
 from ..functions.urls import service_policy, source_host
-from .corpus import trailing_median
+from .corpus import read_text, write_text
 from .dedupe import per_platform, union_summary
 from .registry import failed_ratio
 from .schedule import DEFAULT_COST_MS, clamp_cost
 
+PLAN_FIELDS = ("schema_version", "plan_id", "source_set_id", "cost_model", "commit", "shards")
 PLAN_VERSION, MANIFEST_VERSION, MAX_FAILED = 1, 2, 0.20
 SAMPLE_STATUSES = ("complete", "failed", "truncated", "stopped")
 TERMINAL = ("complete", "failed")
@@ -39,8 +41,10 @@ def tuple_host(key: Column) -> Column:
 def estimate_costs(runs: DataFrame) -> tuple[DataFrame, int]:
     """The median clamped duration of each source, and of all samples."""
     used = runs.filter(F.col("status").isin(*SAMPLE_STATUSES) & (F.col("duration_ms") > 0)).withColumn("cost", clamp_cost(F.col("duration_ms")))
-    each = used.groupBy("platform", "key").agg(trailing_median(F.collect_list("cost")).cast("long").alias("cost"))
-    over = used.agg(F.count("*"), trailing_median(F.collect_list("cost"))).first()
+    # the aggregate counts by value, so all of a platform's costs are never in one list
+    middle = F.floor(F.percentile("cost", 0.5)).cast("long")
+    each = used.groupBy("platform", "key").agg(middle.alias("cost"))
+    over = used.agg(F.count("*"), middle).first()
     return each, int(over[1]) if over[0] else DEFAULT_COST_MS
 
 
@@ -113,6 +117,41 @@ def plan(sources: DataFrame, shard_count: int, costs: DataFrame | None = None, u
     return ShardPlan(shards, source_set_id((p, k) for p, k, _, _ in rows), "uniform" if costs is None else "duration", commit)
 
 
+def plan_text(made: ShardPlan) -> str:
+    """A plan as JSON."""
+    return json.dumps({f: getattr(made, f) for f in PLAN_FIELDS})
+
+
+def write_plan(spark: SparkSession, path: str, made: ShardPlan) -> list[int]:
+    """Writes a plan beside its place and renames it; returns the matrix of shards."""
+    write_text(spark, path, plan_text(made))
+    return made.matrix()
+
+
+def read_plan(spark: SparkSession, path: str) -> ShardPlan:
+    """A plan that passes its own checks."""
+    text = read_text(spark, path)
+    if text is None:
+        raise ValueError(f"no plan at {path}")
+    found = json.loads(text)
+    if missing := [f for f in PLAN_FIELDS if f not in found]:
+        raise ValueError(f"the plan lacks {missing[0]}")
+    shards = [s | {"sources": [tuple(x) for x in s["sources"]]} for s in found["shards"]]
+    made = ShardPlan(shards, found["source_set_id"], found["cost_model"], found["commit"], found["schema_version"])
+    made.plan_id = found["plan_id"]
+    made.validate()
+    return made
+
+
+def resolve_sources(planned: DataFrame, registry: DataFrame) -> DataFrame:
+    """The registry's rows of planned sources, in the plan's order; a planned source that the
+    registry lacks is an error (J12). ``planned`` has platform, key and rank."""
+    keys = ["platform", "key"]
+    if lost := planned.join(registry, keys, "left_anti").orderBy("rank").limit(3).collect():
+        raise ValueError("the registry lacks " + ", ".join(f"{r['platform']}/{r['key']}" for r in lost))
+    return registry.join(planned.select(*keys, "rank"), keys).orderBy("rank")
+
+
 def stamp_errors(manifests: DataFrame, expected: ShardPlan) -> DataFrame:
     """Why each shard's manifest can't be merged, null if it can (C6). ``manifests`` has
     shard, schema_version and struct stamp(index, count, plan_id, source_set_id, commit)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +129,14 @@ def overlap_report(found: DataFrame) -> str:
     rows = found.orderBy(F.desc("strength"), "a", "b").toLocalIterator()
     lines = ["| a | b | raw | url | req | strength |", "| --- | --- | ---: | ---: | ---: | ---: |"]
     return "\n".join(lines + [f"| {r['a']} | {r['b']} | {r['raw']} | {r['url']} | {r['req']} | {r['strength']:.3f} |" for r in rows])
+
+
+def tool_payload(page: DataFrame, truncated: bool = False) -> dict:
+    """The structured result of a tool, and the same as text (K21). ``page`` is one page."""
+    items = [json.loads(r["value"]) for r in page.select(F.to_json(F.struct(*page.columns)).alias("value")).collect()]  # a page's rows
+    content = {"items": items, "truncated": truncated}
+    return {"content": [{"type": "text", "text": json.dumps(content)}], "structuredContent": content, "isError": False}
+
+
+def tool_refusal(reason: str) -> dict:
+    return {"content": [{"type": "text", "text": reason}], "structuredContent": {"error": reason}, "isError": True}

@@ -1,4 +1,4 @@
-"""A Python data source that scans sources side by side, one partition each.
+"""A Python data source that scans sources side by side, one partition each.
 
 The connector reads NDJSON pages of ``<platform>/<key>/page-*.ndjson`` under its path; a
 failing source becomes an error row and leaves the others alone.
@@ -87,9 +87,13 @@ class FixtureSource(DataSource):
         return FixtureReader(self.options["path"])
 
 
-def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records, and a run fact for each source."""
+#: Sources read at a time where none is named.
+WIDTH = 8
+
+
+def scan(spark: SparkSession, path: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Records, and a run fact for each source; at most ``width`` sources are read at a time."""
     spark.dataSource.register(FixtureSource)
-    rows = spark.read.format("job_boards").load(path)
+    rows = spark.read.format("job_boards").load(path).coalesce(max(1, width))
     runs = rows.filter("status IS NOT NULL").select("platform", "key", "status", "error", "error_class", "duration_ms", F.col("_seq").alias("postings"))
     return rows.filter("record IS NOT NULL").select("platform", "key", "record", "_seq"), runs

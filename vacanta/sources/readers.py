@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import read_text
+from ..operators.storage import hadoop_path
 from ..schema import MANIFEST, POSTING, SCHED_GROUPS, SCHED_SOURCES
 
 STATE_VERSION, MANIFEST_VERSION = 1, 2
@@ -25,7 +26,10 @@ def shard_keys(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row a manifest; a missing list of sources is an error, not an empty one."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return with_sources(spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def with_sources(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sources", F.when(F.col("sources").isNotNull(), F.col("sources")).otherwise(F.raise_error(F.lit("a manifest without sources"))))
 
 
@@ -121,12 +125,29 @@ def merge_dir(spark: SparkSession, folder: str, shards: int) -> tuple[DataFrame,
     return manifests, keys
 
 
+def place_part(spark: SparkSession, folder: str, name: str) -> None:
+    """Moves the one part file of a folder that Spark wrote to ``name``."""
+    path, fs = hadoop_path(spark, folder)
+    parts = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} has {len(parts)} part files")
+    if not fs.rename(parts[0], hadoop_path(spark, name)[0]):
+        raise OSError(f"could not place {name}")
+    fs.delete(path, True)
+
+
+def look_up(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts of the wanted CIKs, merged (S29-S31). A table of facts needs no chunks of requests:
+    the look-up is one join, and bindings of other CIKs don't reach the aggregate."""
+    return merge_bindings(facts.join(wanted.select("cik").distinct(), "cik", "left_semi"))
+
+
 def seed_ciks(rows: DataFrame) -> DataFrame:
     """One row for each CIK: the least row index, then ticker."""
     return rows.groupBy("cik").agg(F.min_by(F.struct("row_idx", "ticker", "name"), F.struct("row_idx", "ticker")).alias("r")).select("cik", "r.*")
 
 
-def merge_bindings(rows: DataFrame, chunk: int = 150) -> DataFrame:
+def merge_bindings(rows: DataFrame) -> DataFrame:
     """Facts of a CIK from several bindings: the first non-blank of each, sites as a set."""
     first = lambda x: F.min(F.nullif(F.col(x), F.lit(""))).alias(x)
     return rows.groupBy("cik").agg(first("wikidata_id"), first("parent"), F.array_sort(F.collect_set(F.nullif("website", F.lit("")))).alias("websites"))
