@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import lifecycle, more, parts  # noqa: F401  (they register their queries)
+from .catalog import boards, lifecycle, more, parts  # noqa: F401  (they register their queries)
 from .catalog.queries import QUERIES, SQL, flagship
 
 FLAGSHIP = flagship
