@@ -3,10 +3,13 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). Labels come from
 ``sf_dir``. Stages 1 to 4 return the columns of documents, the last one a row for each piece.
 Rows without doc_id pass the filters on their texts alone; ``n_chars`` follows the text.
+Null and empty texts count as empty; other columns pass through whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vacanta.llm.common import cut, keep_rows, table
@@ -43,9 +46,14 @@ def lines(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """Keeps the first document of each component of near duplicates."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Keeps the first document of each component of near duplicates, and of rows that share
+    its doc_id one. Rows without doc_id stay."""
+    gone = cut(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = docs.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).filter("__again IS NOT NULL AND __n > 1").select("__again")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns)))
+    first = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__one", one).filter("__one = 1").drop("__one")
+    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(first)
 
 
 def packing(spark, docs, sf_dir):
