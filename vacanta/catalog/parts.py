@@ -746,3 +746,89 @@ def k21(s, d):
     out = [(n, p["isError"], len(p["structuredContent"].get("items", []))) for n, p in (("found", found), ("refused", refused))]
     json.dumps([found, refused])
     return s.createDataFrame(out, "what string, is_error boolean, items int")
+
+
+# ------------------------------------------------------------------ sources, scans, filers
+
+
+@register("s03_registry", "SELECT platform, key, company FROM v_sources")
+def s03(s, d):
+    return view(s, d, "v_sources").select("platform", "key", "company")
+
+
+@register("s07_error_classes", "SELECT * FROM (VALUES ('TimeoutError', 'timeout'), ('CancelledError', 'canceled'), ('DeadlineExceeded', 'deadline'), ('ValueError', 'ValueError')) t(error, class)")
+def s07(s, d):
+    from ..sources.fixture import classify
+
+    kinds = [TimeoutError, type("CancelledError", (Exception,), {}), type("DeadlineExceeded", (Exception,), {}), ValueError]
+    return s.createDataFrame([(k.__name__, classify(k())) for k in kinds], "error string, class string")
+
+
+@register("s10_page_guard", "SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, false)) t(page, repeated)")
+def s10(s, d):
+    from ..sources.fixture import PageGuard
+
+    guard = PageGuard()
+    return s.createDataFrame([(i, guard.repeated(ids)) for i, ids in enumerate((["a", "b"], ["c"], ["a", "b"], ["b", "a"]))], "page int, repeated boolean")
+
+
+@register("p14_terms", "SELECT count(*) AS n FROM v_postings WHERE contains(lower(title), 'ring')")
+def p14(s, d):
+    from ..plans.query import any_term, terms
+
+    found = terms(["", "  RING ", "\t"])
+    return typed_postings(s, d).filter(any_term(F.col("title"), found)).agg(F.count("*").alias("n"))
+
+
+@register("p22_unknown_employers", "SELECT count(*) AS n FROM v_postings p JOIN v_employers e ON lower(p.platform) = lower(e.platform) AND lower(p.source_key) = lower(e.key) WHERE NOT e.public OR e.employees >= 1000000")
+def p22(s, d):
+    from ..plans.query import EmployerFilter
+
+    rows = employers.attach(typed_postings(s, d), _employers(s, d))
+    return EmployerFilter(private=True).apply(rows).agg(F.count("*").alias("n"))
+
+
+@register("p29_flattened_columns", "SELECT 'employer' AS lost, count(*) AS rows FROM v_postings")
+def p29_columns(s, d):
+    rows = employers.attach(typed_postings(s, d), _employers(s, d))
+    flat = employers.flatten(rows)
+    lost = ",".join(sorted(set(rows.columns) - set(flat.columns)))
+    return flat.agg(F.count("*").alias("rows")).select(F.lit(lost).alias("lost"), "rows")
+
+
+@register("e02_without_shells", "SELECT s_suppkey AS entity, CAST(s_nationkey AS STRING) AS sic FROM supplier WHERE s_nationkey <> 7")
+def e02(s, d):
+    rows = _table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("string").alias("sic"))
+    return resolve.drop_shells(rows.select("entity"), rows, "7").select("entity", "sic")
+
+
+@register("j10_failed_look_ups", "SELECT * FROM (VALUES ('a tenth', false), ('half', true)) t(lost, refused)")
+def j10(s, d):
+    rows = _table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.lit("1").alias("sic"))
+    most, half = rows.filter("entity % 10 <> 0"), rows.filter("entity % 2 = 0")
+    return s.createDataFrame([("a tenth", tells(resolve.drop_shells, rows.select("entity"), most)), ("half", tells(resolve.drop_shells, rows.select("entity"), half))], "lost string, refused boolean")
+
+
+@register("j11_shared_evidence", f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, count(*) AS shared FROM ({_EVID}) a JOIN ({_EVID}) b ON a.v = b.v AND 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2 HAVING count(*) >= 3")
+def j11(s, d):
+    return resolve.overlaps(_facts(s, d)).filter("shared >= 3").select("a", "b", "shared")
+
+
+@register("j14_measured_groups", "SELECT grp AS \"group\", count(*) AS runs FROM (SELECT day, CAST(CAST(key AS BIGINT) % 10 AS STRING) AS grp, max(last_s) - min(first_s) AS span FROM v_runs WHERE duration_ms > 0 GROUP BY 1, 2) WHERE span > 0 GROUP BY 1")
+def j14(s, d):
+    rows = _runs(s, d)
+    at = lambda x: F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col(x))
+    runs = rows.withColumns({"run": F.col("day"), "started_at": at("first_s"), "finished_at": at("last_s")})
+    groups = rows.select("platform", "key", (F.col("key").cast("long") % 10).cast("string").alias("group")).distinct()
+    return schedule.group_parallelism(runs, groups).select("group", F.col("samples").alias("runs"))
+
+
+@register("w08_failures_in_a_row", "SELECT key, CAST(count(*) FILTER (WHERE status = 'failed' AND day > coalesce(done, DATE '1970-01-01')) AS INT) AS failures FROM (SELECT *, max(CASE WHEN status = 'complete' THEN day END) OVER (PARTITION BY key) AS done FROM v_runs WHERE day IN (SELECT DISTINCT day FROM v_runs ORDER BY day DESC LIMIT 4)) GROUP BY 1")
+def w08(s, d):
+    from functools import reduce
+
+    rows, empty = _runs(s, d).withColumn("error_class", F.lit("")), s.createDataFrame([], SCHED_SOURCES)
+    days = [r["day"] for r in rows.select("day").distinct().orderBy("day").collect()][-4:]  # a fold for each of the last days
+    last = rows.filter(F.col("day").isin(days))
+    state = reduce(lambda st, day: schedule.fold_state(st, last.filter(F.col("day") == F.lit(day)), instant("2024-01-31T00:00:00")), days, empty)
+    return state.select("key", F.col("consecutive_failures").alias("failures"))
