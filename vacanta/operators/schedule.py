@@ -121,62 +121,102 @@ class SchedulePlan:
     plan_id: str
 
 
+#: More milliseconds than any plan has.
+ENDLESS = 1 << 62
+
+
+@dataclass
+class Room:
+    """How much time a group, or the whole plan, may fill, and what fills it."""
+
+    capacity: int
+    reserve: int = 0
+    planned: int = 0
+    items: list[dict] = field(default_factory=list)
+
+    def holds(self, cost: int, limit: int | None = None) -> bool:
+        return self.planned + cost <= (self.capacity if limit is None else limit)
+
+    def add(self, row: dict) -> None:
+        self.planned += row["cost"]
+        self.items.append(row)
+
+
+def _name(row: dict) -> tuple:
+    return row["platform"], row["key"]
+
+
+def _age(row: dict) -> tuple:
+    """Never tried first, then the longest ago."""
+    return row["last_attempt"] is not None, row["last_attempt"] or datetime.min, _name(row)
+
+
+def _why_not(row: dict, unbounded: bool) -> str | None:
+    """What keeps a source out of any plan."""
+    if not row["may"]:
+        return "backoff"
+    return "fresh" if unbounded and row["stale"] < 1000 else None
+
+
+def _rounds(rooms: dict[str, Room]) -> list[dict]:
+    """Groups take turns, the fullest first; in a group aging sources by age, then the
+    dearest first."""
+    order = lambda r: (0, *_age(r)) if r["lane"] == "aging" else (1, -r["cost"], _name(r))
+    busy = sorted((g for g, room in rooms.items() if room.items), key=lambda g: (-rooms[g].planned, g))
+    turns = [(turn, place, r) for place, g in enumerate(busy) for turn, r in enumerate(sorted(rooms[g].items, key=order))]
+    return [r | {"rank": i} for i, (_, _, r) in enumerate(sorted(turns, key=lambda t: t[:2]))]
+
+
 def admit(rows: list[dict], parallelism: dict[str, int], policy: SchedulePolicy, wall: timedelta | None, workers: int = 1, shards: int = 1, unbounded: bool = False) -> SchedulePlan:
-    """Two lanes under group and global capacity (C11), then the emit order."""
+    """Which sources a run may visit under group and global budgets (C11), and their order.
+
+    Aging sources come first, up to their share of a group's budget; those beyond it compete
+    for the rest of the budget before the others, which go by score.
+    """
     bounded = wall is not None and wall > timedelta(0) and not unbounded
     if bounded and workers < 1:
         raise ValueError("a wall budget needs workers")
-    endless = 1 << 62
     wall_ms = _ms(wall) if bounded else 0
-    books: dict[str, dict] = {}
-    deferred = [{"platform": r["platform"], "key": r["key"], "group": r["group"], "reason": "backoff"} for r in rows if not r["may"]]
-    fresh = [r for r in rows if r["may"] and unbounded and r["stale"] < 1000]
-    deferred += [{"platform": r["platform"], "key": r["key"], "group": r["group"], "reason": "fresh"} for r in fresh]
-    candidates = [r for r in rows if r["may"] and not (unbounded and r["stale"] < 1000)]
-    for r in candidates:
-        width = parallelism.get(r["group"], 0) or policy.cold_parallel
-        room = wall_ms * width // 1000 * policy.fill // 100 if bounded else endless
-        books.setdefault(r["group"], {"group": r["group"], "capacity": room, "reserve": room // 100 * policy.oblige_share if bounded else room, "planned": 0, "items": []})
-    whole = wall_ms * workers * shards // 100 * policy.fill if bounded else endless
-    planned = 0
-    name = lambda r: (r["platform"], r["key"])
-    age = lambda r: (r["last_attempt"] is not None, r["last_attempt"] or datetime.min, name(r))
-    reason = lambda r: {"platform": r["platform"], "key": r["key"], "group": r["group"], "reason": "global-budget" if planned + r["cost"] > whole else "group-budget"}
-
-    def take(r: dict, limit: int) -> bool:
-        nonlocal planned
-        book = books[r["group"]]
-        if book["planned"] + r["cost"] > limit or planned + r["cost"] > whole:
-            return False
-        book["planned"] += r["cost"]
-        book["items"].append(r)
-        planned += r["cost"]
-        return True
-
-    fits = []
-    for r in candidates:
-        if bounded and r["cost"] > books[r["group"]]["capacity"]:
-            deferred.append({"platform": r["platform"], "key": r["key"], "group": r["group"], "reason": "oversize"})
+    deferred: list[dict] = []
+
+    def put_off(row: dict, reason: str) -> None:
+        deferred.append({"platform": row["platform"], "key": row["key"], "group": row["group"], "reason": reason})
+
+    total, rooms, ready = Room(wall_ms * workers * shards // 100 * policy.fill if bounded else ENDLESS), {}, []
+    for r in rows:
+        if reason := _why_not(r, unbounded):
+            put_off(r, reason)
+            continue
+        if r["group"] not in rooms:
+            width = parallelism.get(r["group"], 0) or policy.cold_parallel
+            capacity = wall_ms * width // 1000 * policy.fill // 100 if bounded else ENDLESS
+            rooms[r["group"]] = Room(capacity, capacity // 100 * policy.oblige_share if bounded else capacity)
+        if r["cost"] > rooms[r["group"]].capacity:
+            put_off(r, "oversize")
+        else:
+            ready.append(r)
+
+    later = []
+    for r in sorted((r for r in ready if r["lane"] == "aging"), key=_age):
+        room = rooms[r["group"]]
+        if room.holds(r["cost"], room.reserve) and total.holds(r["cost"]):
+            room.add(r)
+            total.add(r)
+        else:
+            later.append(r)
+    for r in later + sorted((r for r in ready if r["lane"] == "value"), key=lambda r: (-r["score"], _name(r))):
+        if not total.holds(r["cost"]):
+            put_off(r, "global-budget")
+        elif not rooms[r["group"]].holds(r["cost"]):
+            put_off(r, "group-budget")
         else:
-            fits.append(r)
-    aging = sorted((r for r in fits if r["lane"] == "aging"), key=age)
-    value = sorted((r for r in fits if r["lane"] == "value"), key=lambda r: (-r["score"], name(r)))
-    overflow = [r for r in aging if not take(r, books[r["group"]]["reserve"])]
-    for r in [*overflow, *value]:
-        if not take(r, books[r["group"]]["capacity"]):
-            deferred.append(reason(r))
-    emit = lambda r: (0, *age(r)) if r["lane"] == "aging" else (1, -r["cost"], name(r))
-    queues = [sorted(b["items"], key=emit) for b in sorted(books.values(), key=lambda b: (-b["planned"], b["group"])) if b["items"]]
-    items: list[dict] = []
-    turn = 0
-    while queues:
-        items += [q[turn] | {"rank": len(items) + i} for i, q in enumerate(queues)]
-        turn += 1
-        queues = [q for q in queues if turn < len(q)]
-    deferred.sort(key=name)
+            rooms[r["group"]].add(r)
+            total.add(r)
+    items = _rounds(rooms)
+    deferred.sort(key=_name)
     plan_id = lines_id(f"{i:09d}\t{r['platform']}\t{r['key']}" for i, r in enumerate(items))
-    groups = [{k: b[k] for k in ("group", "capacity", "reserve", "planned")} for _, b in sorted(books.items())]
-    return SchedulePlan(items, deferred, groups, planned, whole, plan_id)
+    groups = [{"group": g, "capacity": room.capacity, "reserve": room.reserve, "planned": room.planned} for g, room in sorted(rooms.items())]
+    return SchedulePlan(items, deferred, groups, total.planned, total.capacity, plan_id)
 
 
 def build(registry: DataFrame, state: DataFrame, groups: DataFrame, now: datetime, wall: timedelta | None, workers: int = 1, shards: int = 1, policy: SchedulePolicy = SchedulePolicy(), unbounded: bool = False) -> SchedulePlan:
