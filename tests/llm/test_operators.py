@@ -380,7 +380,7 @@ def test_packing_equals_a_plain_packer(spark):
     units = {i: d[len(d) - len(d) % window :] for i, d in docs.items() if len(d) % window}
     held = Counter(t for u in units.values() for t in set(u.tolist()))
     key = {i: sorted((held[t], t) for t in set(u.tolist()) if held[t] > 1)[: packing.KEY_TERMS] for i, u in units.items()}
-    order = sorted(units, key=lambda i: ([t for _, t in key[i]], i))
+    order = sorted(units, key=lambda i: ([*key[i], *[(1 << 62, 0)] * (packing.KEY_TERMS - len(key[i]))], i))
     everything = list(units.values())
     for shard in (1 << 20, 1000):
         want, size, shards = Counter(), 0, [[]]
@@ -645,6 +645,31 @@ def test_pipeline(spark):
     assert {r[0] for r in rows.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_on_odd_rows(spark, odd, none):
+    """Every stage on nulls, repeated rows, clashing columns, tables without n_chars, and none at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clean = "The garden by the river is green and the water runs past it all day long. " * 8
+    rows = [(i, t) for i, t in ODD if t is None or len(t) < 50_000] + [(50, clean), (51, clean), (50, clean), (52, clean + "And more. "), (None, clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("n_lines", "n_dropped", "row", "lost", "comp", "rep", "__x", "score", "place", "part", "uid", "rest"):
+        df = df.withColumn(c, F.lit("clash"))
+    for name, stage in pipeline.STAGES:
+        out, empty = stage(spark, df, DATA), stage(spark, df.limit(0), DATA)
+        assert empty.count() == 0 and (name == "packing" or out.columns == df.columns), name
+        got = Counter((r["doc_id"], r["text"]) for r in out.collect()) if name != "packing" else None
+        if name in ("toxicity", "quality"):
+            assert not got - Counter((i, t) for i, t in rows), name
+        if name == "line_dedup":
+            assert got == Counter((i, t) for i, _, _, t in plain_lines(rows))
+        if name == "near_dedup":
+            components = plain_components(rows, near_dedup.WORDS, near_dedup.PERCENT)
+            heads = {i for i, _, c in components if i is not None and i == c}
+            assert Counter(i for i, _ in got.elements() if i is not None) == Counter(heads)
+            assert sum(n for (i, _), n in got.items() if i is None) == sum(i is None for i, _ in rows)
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {i for i, _ in rows}
+
+
 def test_hash_of_words():
     for t in ("", " ", "a", " a  b\tc\x0bd ", "é 日本 x" * 50):
         start, end = common.words(t.encode())

@@ -27,7 +27,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,11 @@ WINDOW, END_ID = 4_096, 2
 SHARD_TOKENS, PART_SHARDS, MOST_PARTS = 1 << 20, 4, 1 << 16
 #: Rarest terms that order the units.
 KEY_TERMS = 4
+#: Units sampled for each partition, to find where the partitions' ranges end.
+SAMPLED = 32
 #: BM25's constants, and words kept encoded.
 K1, B = 1.2, 0.75
-KEPT_WORDS = 600_000
+KEPT_WORDS = 800_000
 
 # The word pattern of the tokenizer for texts of characters up to U+012F,
 # where lower-casing and composition need no more than Python's; others take the tokenizer.
@@ -59,9 +62,13 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        # the same merges for words that are folded and told apart already
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # texts that may hold a special token are the library's own business
         self.special = re.compile("|".join(map(re.escape, special)) or r"\Z.", re.I)
@@ -72,7 +79,7 @@ class WordTokenizer:
 
     def learn(self, words: list[str]) -> None:
         """Keeps the ids of words, encoded in one text and told apart by the ids that end a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) == len(words) and at[-1] == len(ids):
             raw, start = ids.tobytes(), 0
@@ -92,7 +99,7 @@ class WordTokenizer:
         except KeyError:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-            self.learn([w for w in dict.fromkeys(found) if w not in kept])
+            self.learn(list(set(found).difference(kept)))
             raw = b"".join(map(kept.__getitem__, found))
         return np.frombuffer(raw, dtype="<u4")
 
@@ -167,53 +174,81 @@ def pack_shard(units: list[np.ndarray], window: int = WINDOW, corpus: tuple[int,
         sequence += 1
 
 
-def rare_key(terms: np.ndarray, held: np.ndarray) -> bytes:
-    """The rarest of a unit's distinct terms that other units hold as well, rarest first."""
-    shared = terms[held[terms] > 1]
-    order = np.lexsort((shared, held[shared]))[:KEY_TERMS]
-    return shared[order].astype(">u4").tobytes()
+def rarity(held: np.ndarray) -> np.ndarray:
+    """The place of each term among those that several units hold, rarest first; the others
+    come behind them all."""
+    order = np.lexsort((np.arange(len(held)), np.where(held > 1, held, np.iinfo(np.int64).max)))
+    out = np.empty(len(held), dtype=np.uint32)
+    out[order] = np.arange(len(held))
+    out[held <= 1] = 0xFFFFFFFF
+    return out
+
+
+def rare_key(unit: np.ndarray, rank: np.ndarray) -> bytes:
+    """The places of a unit's rarest terms that other units hold as well, rarest first; where
+    there are fewer, all ones follow."""
+    first = np.unique(rank[unit])[:KEY_TERMS].astype(">u4").tobytes()
+    return first.ljust(4 * KEY_TERMS, b"\xff")
 
 
 def _encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
     """A row for each document: checksums of the windows that it fills, and the ids of the rest.
 
-    ``first`` numbers the windows' sequences, ``uid`` the rows.
+    ``first`` numbers the windows' sequences, ``uid`` the rows. At the end of a task comes a row
+    without uid: in ``wholes`` the terms of its units, and in ``rest`` how many units hold each.
     """
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("uid long, doc_tokens long, first long, wholes array<long>, rest binary").fields])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uid, sequence = tokenizer(path), TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 40
+        held, id_type = np.zeros(len(words.ends), dtype=np.int64), None
         for batch in batches:
-            rows = []
+            rows, id_type = [], batch.column("doc_id").type
             for text in batch.column("text").to_pylist():
                 ids = np.append(words.encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 whole = len(ids) // window * window
                 wholes = [zlib.crc32(ids[s : s + window].tobytes()) for s in range(0, whole, window)]
+                held[np.unique(ids[whole:])] += 1
                 rows.append((uid, len(ids), sequence, wholes, ids[whole:].astype(words.small).tobytes()))
                 uid, sequence = uid + 1, sequence + len(wholes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=schema.names)
+        if id_type is not None:
+            at = np.flatnonzero(held)
+            last = [None, None, None, at.tolist(), held[at].astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *(pa.array([x], k) for x, k in zip(last, kinds, strict=True))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def _holders(units: DataFrame, terms: int, small: str) -> np.ndarray:
-    """For each term the units of the corpus that hold it."""
+def _holders(counted: DataFrame, terms: int) -> np.ndarray:
+    """For each term the units of the corpus that hold it, from the tasks' last rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(terms, dtype=np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("rest").to_pylist():
-                df[np.unique(np.frombuffer(raw, dtype=small))] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
+            for term, raw in zip(batch.column("wholes").to_pylist(), batch.column("rest").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(np.frombuffer(raw, dtype="<i8"), pa.int64())], names=["term", "df"])
 
-    found = units.select("rest").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
+    found = counted.select("wholes", "rest").mapInArrow(spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
     out = np.zeros(terms, dtype=np.int64)
     out[found["term"].to_numpy()] = found["df"].to_numpy()
     return out
 
 
+def _edges(units: DataFrame, places: Callable, parts: int, n: int) -> list[bytes]:
+    """Places that cut the units into about equal ranges, from a sample of bounded size."""
+    if parts == 1:
+        return []
+    few = units.filter(F.pmod(F.xxhash64("uid"), F.lit(max(1, n // (SAMPLED * parts)))) == 0).select("uid", "rest")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(places(batch), pa.binary())], names=["place"])
+
+    found = sorted(few.mapInArrow(take, "place binary").toArrow()["place"].to_pylist())
+    return [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+
+
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -222,7 +257,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
     encoded = cut(_encoded(docs, path, window), "encoded")
     piece = StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     names = ["doc_id", *piece.names]
-    whole = encoded.select("doc_id", "doc_tokens", "first", F.posexplode("wholes").alias("pos", "ids_crc32")).select(
+    whole = encoded.filter("uid IS NOT NULL").select("doc_id", "doc_tokens", "first", F.posexplode("wholes").alias("pos", "ids_crc32")).select(
         "doc_id",
         (F.col("pos") * F.lit(window)).cast("long").alias("start"),
         F.lit(window).cast("long").alias("length"),
@@ -231,16 +266,27 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
         (F.col("first") + F.col("pos")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    units = encoded.filter(F.octet_length("rest") > 0).select("doc_id", "uid", "doc_tokens", "rest")
+    rows = encoded.filter("uid IS NOT NULL")
+    units = rows.filter(F.octet_length("rest") > 0).select("doc_id", "uid", "doc_tokens", "rest")
     n, tokens = units.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rest")), F.lit(0)) / np.dtype(small).itemsize).first()
-    held = _holders(units, terms, small)
-    corpus = docs.sparkSession.sparkContext.broadcast((n, max(int(tokens), 1), held))  # a number for each term of the tokenizer
+    parts = max(1, min(MOST_PARTS, -(-int(tokens) // (PART_SHARDS * shard_tokens))))
+    held = _holders(encoded.filter("uid IS NULL"), terms)
+    spark = docs.sparkSession.sparkContext
+    corpus = spark.broadcast((n, max(int(tokens), 1), held, rarity(held)))  # two numbers for each term of the tokenizer
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = corpus.value[2]
+    def places(batch: pa.RecordBatch) -> list[bytes]:
+        """Where units stand in the order: by their rarest terms, then by uid."""
+        rank = corpus.value[3]
+        rows = zip(batch.column("uid").to_pylist(), batch.column("rest").to_pylist(), strict=True)
+        return [rare_key(np.frombuffer(raw, dtype=small), rank) + uid.to_bytes(8, "big") for uid, raw in rows]
+
+    edges = spark.broadcast(_edges(units, places, parts, n))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [rare_key(np.unique(np.frombuffer(raw, dtype=small)), held) for raw in batch.column("rest").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "key"])
+            found = places(batch)
+            part = [bisect_right(edges.value, x) for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), pa.array(part, pa.int32())], names=[*batch.schema.names, "place", "part"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = (1 << 62) + (TaskContext.get().partitionId() << 40)
@@ -251,7 +297,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
             nonlocal sequence
             parts = [np.frombuffer(raw, dtype=small).astype("<u4") for _, _, raw in rows]
             made, used = [], 0
-            for i, start, length, q, offset in pack_shard(parts, window, corpus.value):
+            for i, start, length, q, offset in pack_shard(parts, window, corpus.value[:3]):
                 all_tokens = rows[i][1]
                 made.append((i, all_tokens - len(parts[i]) + start, length, zlib.crc32(parts[i][start : start + length].tobytes()), all_tokens, sequence + q, offset))
                 used = q + 1
@@ -276,9 +322,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_token
             if rows:
                 yield close(rows)
 
-    keyed = cut(units.mapInArrow(key, StructType([*units.schema.fields, *StructType.fromDDL("key binary").fields])), "keyed")
-    parts = max(1, min(MOST_PARTS, -(-int(tokens) // (PART_SHARDS * shard_tokens))))
-    dealt = keyed.repartitionByRange(parts, "key", "uid").sortWithinPartitions("key", "uid")
+    dealt = units.mapInArrow(deal, StructType([*units.schema.fields, *StructType.fromDDL("place binary, part int").fields]))
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("place")
     packed = dealt.select("doc_id", "doc_tokens", "rest").mapInArrow(pack, StructType([docs.schema["doc_id"], *piece.fields]))
     return whole.unionByName(packed)
 
