@@ -9,7 +9,7 @@ The fold runs in Python workers, not in Spark's higher-order functions; the READ
 tells why, with figures.
 
 Defined results: null and empty texts have no ids; any text decodes to its own UTF-8
-bytes; rows that repeat are each returned; an empty table gives no rows; extra columns
+bytes; texts of any length are encoded whole; rows that repeat are each returned; an empty table gives no rows; extra columns
 are ignored.
 """
 

@@ -8,10 +8,11 @@ the two before, came earlier in the text), how long these means are, and how man
 there are. A network of one hidden layer, trained with numpy, and a temperature fitted on
 documents that the training left out turn that into a probability.
 
-The model is fitted on a bounded sample (``PER_CLASS``); every text is scored whole.
+The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled texts a class, none
+longer than ``training.LONGEST`` bytes. Every text is scored whole.
 
 Defined results: null and empty texts have no words and score as the network says of
-zeros; rows that repeat score alike; without usable labels of both classes all scores are
+zeros; texts of any length are read whole; rows that repeat score alike; without usable labels of both classes all scores are
 the share of label 1, or 0.5 without labels; an empty table gives no rows; extra columns
 are ignored.
 """
