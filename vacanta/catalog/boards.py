@@ -1,4 +1,4 @@
-"""Payloads of sixteen platforms, written from the part table as its board would, and read as postings."""
+"""Payloads of nineteen platforms, written from the part table as its board would, and read as postings."""
 
 from __future__ import annotations
 
@@ -28,6 +28,9 @@ def payload(platform: str):
         "oraclecloud": _s(Id=number, Title=name, PrimaryLocation=city, PostedDate=day, JobFunction=brand, JobSchedule=F.when(even, "Full time").otherwise(""), JobType="Intern", WorkplaceTypeCode="ORA_HYBRID"),
         "phenom": _s(title=name, cityState=city, location="Rome", jobId=F.when(even, number).otherwise(""), applyUrl=F.concat(F.lit("https://a.co/"), number), postedDate=day, type="Full time", category=brand),
         "eightfold": _s(id=F.col("p_partkey"), name=name, location="", department=brand, business_unit=kind, t_create=F.unix_timestamp(day, "yyyy-MM-dd"), work_location_option=F.when(even, "remote_local").otherwise("onsite"), display_job_id=F.concat(F.lit("D"), number)),
+        "rippling": _s(id=number, name=name, url=F.concat(F.lit("https://r.co/"), number), department=_s(name=brand), locations=F.array(_s(name="Oslo", city="", country="", workplaceType=F.when(even, "HYBRID").otherwise("HYBRID")), _s(name="", city="Rome", country="Italy", workplaceType=F.when(even, "REMOTE").otherwise("HYBRID")))),
+        "gem": _s(id="g", extId=number, title=name, firstPublishedTsSec=F.unix_timestamp(day, "yyyy-MM-dd"), locations=F.array(_s(name="Oslo", city="", isoCountry="NOR", isRemote=even)), job=_s(department=_s(name=brand), employmentType="full_time", locationType="")),
+        "amazon": _s(id_icims=number, title=name, job_path=F.concat(F.lit("/en/jobs/"), number), normalized_location=city, location="IT, Rome", job_category=brand, job_family=kind, job_schedule_type="Full-Time", posted_date=F.date_format(day.cast("date"), "MMMM  d, yyyy")),
         "greenhouse": _s(absolute_url=F.concat(F.lit("http://g.io/"), number), title=name, location=_s(name=city), first_published=F.concat(day, F.lit("T08:00:00+00:00")), id=F.col("p_partkey")),
         "lever": _s(hostedUrl=F.concat(F.lit("https://l.co/"), number), text=name, categories=_s(location=city, commitment="Full-time", team=kind, department=brand), workplaceType=F.when(even, "hybrid").otherwise("onsite"), createdAt=F.unix_timestamp(day, "yyyy-MM-dd") * 1000, id=number),
         "ashby": _s(jobUrl=F.concat(F.lit("https://a.hq/"), number), title=name, location="Oslo", department=brand, team=kind, employmentType="FullTime", isRemote=even, publishedAt=F.concat(day, F.lit("T08:00:00.000+00:00")), id=number),
@@ -61,6 +64,9 @@ EXPECTED = {
     "oraclecloud": (f"'https://k/hcmUI/CandidateExperience/en/sites/s/job/' || {_P}", _case("'Oslo'", "'unknown/remote'"), "p_brand", _case("'full_time'", "'internship'"), "'hybrid'", "''", _D, _P),
     "phenom": (_case(f"'https://k/us/en/job/' || {_P}", f"'https://a.co/' || {_P}"), _case("'Oslo'", "'Rome'"), "p_brand", "'full_time'", "''", "''", _D, _case(_P, "''")),
     "eightfold": (f"'https://k.eightfold.ai/careers/job/' || {_P}", "'unknown/remote'", "p_brand", "''", _case("'remote'", "'onsite'"), _case("'true'", "''"), _D, _SOME),
+    "rippling": (f"'https://r.co/' || {_P}", _case("'Oslo; Rome, Italy, Remote'", "'Oslo; Rome, Italy'"), "p_brand", "''", _case("''", "'hybrid'"), "''", "''", _P),
+    "gem": (f"'https://jobs.gem.com/k/' || {_P}", "'Oslo, NOR'", "p_brand", "'full_time'", _case("'remote'", "''"), _case("'true'", "''"), _D, _P),
+    "amazon": (f"'https://www.amazon.jobs/en/jobs/' || {_P}", _case("'Oslo'", "'IT, Rome'"), "p_brand", "'full_time'", "''", "''", _D, _P),
     "greenhouse": (f"'https://g.io/' || {_P}", _case("'Oslo'", "'unknown/remote'"), "''", "''", "''", "''", _D, _SOME),
     "lever": (f"'https://l.co/' || {_P}", _case("'Oslo'", "'unknown/remote'"), "p_brand", "'full_time'", _case("'hybrid'", "'onsite'"), "'false'", _D, _SOME),
     "ashby": (f"'https://a.hq/' || {_P}", "'Oslo'", "p_brand", "'full_time'", _case("'remote'", "''"), _case("'true'", "'false'"), _D, _SOME),

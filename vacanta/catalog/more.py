@@ -41,10 +41,15 @@ def f22(s, d):
     return _table(s, d, "orders").select("o_orderkey", urls.normal_req(F.concat(F.lit("  "), F.lower("o_orderpriority"))).alias("req"))
 
 
-@register("f30_service_policy", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'lever' ELSE 'x' || CAST(page_id AS STRING) || '.org' END AS service, CAST(CASE WHEN page_id % 2 = 0 THEN 100 ELSE 0 END AS INT) AS pause_ms FROM pages")
+_HOSTS = ("API.Lever.co", "t.bamboohr.com", "acme.jobs.personio.de", "x.successfactors.eu", "a.peopleforce.io", "jobs.example.org", "apply.workable.com", "one.example.net", "breezy.hr")
+_POLICIES = (("api.lever.co", 4, 25, 10), ("bamboohr.com", 4, 25, 10), ("personio.de", 4, 25, 10), ("x.successfactors.eu", 2, 100, 30), ("peopleforce.io", 2, 100, 15), ("jobs.example.org", 8, 0, 5), ("apply.workable.com", 2, 100, 30), ("example", 4, 25, 10), ("breezy.hr", 8, 0, 5))
+_POLICY_VALUES = ", ".join(f"({i}, '{k}', {n}, {p}, {r})" for i, (k, n, p, r) in enumerate(_POLICIES))
+
+
+@register("f30_service_policy", f"SELECT page_id, service, at_once, pause_ms, rest_s FROM pages JOIN (VALUES {_POLICY_VALUES}) t(i, service, at_once, pause_ms, rest_s) ON i = page_id % 9")
 def f30(s, d):
-    host = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), F.col("page_id").cast("string"), F.lit(".lever.co"))).otherwise(F.concat(F.lit("x"), F.col("page_id").cast("string"), F.lit(".org")))
-    return _table(s, d, "pages").select("page_id", urls.service_policy(host).alias("p")).select("page_id", "p.service", "p.pause_ms")
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 9 + 1).cast("int"))
+    return _table(s, d, "pages").select("page_id", urls.service_policy(host, 8, {"one.example.net": "example"}).alias("p")).select("page_id", "p.*")
 
 
 @register("f51_amount", "SELECT DISTINCT p_retailprice AS x, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS INT) AS STRING) ELSE printf('%.2f', p_retailprice) END AS shown FROM part")

@@ -170,16 +170,16 @@ def f28(s, d):
     return _table(s, d, "pages").select("page_id", urls.source_host(F.col("url")).alias("host"))
 
 
-_HOSTED = "SELECT platform, CASE WHEN platform = 'asia' THEN 't' || key || '.lever.co' WHEN platform = 'europe' AND reg_idx % 2 = 0 THEN key || '.greenhouse.io' ELSE key END AS key FROM v_sources"
+_HOSTED = "SELECT platform, CASE WHEN platform = 'asia' THEN 't' || key || '.breezy.hr' WHEN platform = 'europe' AND reg_idx % 2 = 0 THEN key || '.greenhouse.io' ELSE key END AS key FROM v_sources"
 
 
 def _hosted(s, d):
     c = F.col
-    key = F.when(c("platform") == "asia", F.concat(F.lit("t"), "key", F.lit(".lever.co"))).when((c("platform") == "europe") & (c("reg_idx") % 2 == 0), F.concat("key", F.lit(".greenhouse.io")))
+    key = F.when(c("platform") == "asia", F.concat(F.lit("t"), "key", F.lit(".breezy.hr"))).when((c("platform") == "europe") & (c("reg_idx") % 2 == 0), F.concat("key", F.lit(".greenhouse.io")))
     return view(s, d, "v_sources").withColumn("key", F.coalesce(key, "key"))
 
 
-@register("f29_affinity", f"SELECT platform, key, CASE WHEN platform = 'asia' THEN 'service:lever' ELSE 'platform:' || platform END AS \"group\" FROM ({_HOSTED})")
+@register("f29_affinity", f"SELECT platform, key, CASE WHEN platform = 'asia' THEN 'service:breezy.hr' ELSE 'platform:' || platform END AS \"group\" FROM ({_HOSTED})")
 def f29(s, d):
     return shards.affinity(_hosted(s, d)).select("platform", "key", "group")
 
@@ -832,3 +832,17 @@ def w08(s, d):
     last = rows.filter(F.col("day").isin(days))
     state = reduce(lambda st, day: schedule.fold_state(st, last.filter(F.col("day") == F.lit(day)), instant("2024-01-31T00:00:00")), days, empty)
     return state.select("key", F.col("consecutive_failures").alias("failures"))
+
+
+@register("s20_ranges_of_files", "SELECT * FROM (VALUES ('head', 'PAR1'), ('tail', 'PAR1'), ('beyond', ''), ('outside', 'refused')) t(part, held)")
+def s20(s, d):
+    from ..sources.store import RangeStore
+
+    store, path = RangeStore(s, shared_dir(s)), folder(s, "ranges")
+    _table(s, d, "nation").coalesce(1).write.parquet(path)
+    readers.place_part(s, path, path + ".parquet")
+    name = at_end(s, path + ".parquet").rsplit("/", 1)[1]
+    size = store.size(name)
+    held = {"head": store.read(name, 0, 4), "tail": store.read(name, size - 4, 99), "beyond": store.read(name, size + 5, 9)}
+    outside = "refused" if tells(store.read, f"../{name}", 0, 4) else "read"
+    return s.createDataFrame([*((k, v.decode()) for k, v in held.items()), ("outside", outside)], "part string, held string")

@@ -120,16 +120,35 @@ def source_host(key: Column) -> Column:
     return F.when(host.rlike(r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}$"), host)
 
 
-#: Suffix rules for hosts: (suffix, service, requests at once, milliseconds between requests).
-POLICIES = [("greenhouse.io", "greenhouse", 8, 0), ("lever.co", "lever", 4, 100), ("ashbyhq.com", "ashby", 4, 100), ("myworkdayjobs.com", "workday", 6, 50)]
-
-
-def service_policy(host: Column, default_limit: int = 4) -> Column:
-    """The service whose suffix a host ends in, its concurrency and pacing; else the host itself."""
-    make = lambda k, n, ms: F.struct(k.alias("service"), F.lit(n).alias("at_once"), F.lit(ms).alias("pause_ms"))
-    out = make(host, default_limit, 0)
-    for suffix, name, n, ms in reversed(POLICIES):
-        out = F.when((host == suffix) | host.endswith("." + suffix), make(F.lit(name), n, ms)).otherwise(out)
+# What services bear: (requests at once, milliseconds between them, seconds to
+# rest after a refusal). Hosts by name; hosts of a domain that count as one service; hosts of a
+# domain that each count for themselves.
+_USUAL, _GENTLE = (4, 25, 10), (2, 100, 30)
+HOSTS = {
+    "apply.workable.com": _GENTLE, "www.google.com": _USUAL, "ats.rippling.com": _USUAL, "jobs.gem.com": _USUAL, "api.smartrecruiters.com": _USUAL, "api.lever.co": _USUAL,
+    "boards-api.greenhouse.io": _USUAL, "api.ashbyhq.com": _USUAL, "jobs.jobvite.com": _USUAL, "sjobs.brassring.com": _USUAL,
+}
+ONE_SERVICE = {
+    "peopleforce.io": (2, 100, 15), "bamboohr.com": _USUAL, "jibeapply.com": _USUAL, "teamtailor.com": _USUAL, "recruitee.com": _USUAL, "pinpointhq.com": _USUAL,
+    "jobs.personio.de": _USUAL, "breezy.hr": _USUAL, "eightfold.ai": _USUAL,
+}
+EACH_HOST = {"successfactors.com": _GENTLE, "successfactors.eu": _GENTLE, "oraclecloud.com": _USUAL}
+OTHERS = (0, 5)
+
+
+def service_policy(host: Column, default_limit: int = 4, shared: dict[str, str] | None = None) -> Column:
+    """service, at_once, pause_ms and rest_s of a host (F30). ``shared`` names hosts that have
+    one backend, and its service; an unknown host is a service of its own."""
+    make = lambda key, n, pause, rest: F.struct(key.alias("service"), F.lit(n).alias("at_once"), F.lit(pause).alias("pause_ms"), F.lit(rest).alias("rest_s"))
+    bounded = lambda key, rule: make(key, min(default_limit, rule[0]), *rule[1:])
+    name = F.lower(host)
+    rules = [(name == h, F.lit(key), _USUAL) for h, key in (shared or {}).items()]
+    rules += [(name == h, name, rule) for h, rule in HOSTS.items()]
+    rules += [(name.endswith("." + d), F.lit(".".join(d.split(".")[-2:])), rule) for d, rule in ONE_SERVICE.items()]
+    rules += [(name.endswith("." + d), name, rule) for d, rule in EACH_HOST.items()]
+    out = make(name, default_limit, *OTHERS)
+    for match, key, rule in reversed(rules):
+        out = F.when(match, bounded(key, rule)).otherwise(out)
     return out
 
 

@@ -138,7 +138,41 @@ def eightfold(v: Value, key: Column, now: Column) -> dict[str, Column]:
     }
 
 
-RULES = {f.__name__: f for f in (workable, bamboohr, jibe, teamtailor, personio, workday, oraclecloud, phenom, eightfold)}
+def rippling(v: Value, key: Column, now: Column) -> dict[str, Column]:
+    entry = "array<struct<name:string,country:string,state:string,city:string,workplaceType:string>>"
+    sites = F.coalesce(F.from_json(v("$.locations"), entry), F.array().cast(entry))
+    far = lambda x: F.when(x["workplaceType"] == "REMOTE", "Remote")
+    place = F.transform(sites, lambda x: _first(F.nullif(x["name"], F.lit("")), F.concat_ws(", ", *[F.nullif(x[n], F.lit("")) for n in ("city", "state", "country")], far(x))))
+    kinds = F.array_distinct(F.filter(F.transform(sites, lambda x: workplace_type(x["workplaceType"])), lambda x: x.isNotNull()))
+    work = F.when(F.size(kinds) == 1, F.try_element_at(kinds, F.lit(1)))  # sites that differ tell nothing
+    return {
+        "url": v("$.url"), "title": v("$.name"), "location": _first(_sites(place), F.lit("")), "department": v("$.department.name"), "workplace_type": work,
+        "remote": F.when(work == "remote", True), "external_id": v("$.id"),
+    }
+
+
+def gem(v: Value, key: Column, now: Column) -> dict[str, Column]:
+    entry = "array<struct<name:string,city:string,isoCountry:string,isRemote:boolean>>"
+    sites = F.coalesce(F.from_json(v("$.locations"), entry), F.array().cast(entry))
+    one = F.try_element_at(sites, F.lit(1))
+    all_far = (F.size(sites) > 0) & F.forall(sites, lambda x: F.coalesce(x["isRemote"], F.lit(False)))
+    work = _first(workplace_type(v("$.job.locationType")), F.when(all_far, "remote"))
+    return {
+        "url": F.concat(F.lit("https://jobs.gem.com/"), key, F.lit("/"), _first(v("$.extId"), v("$.id"))), "title": v("$.title"),
+        "location": F.concat_ws(", ", *[F.nullif(F.trim(one[n]), F.lit("")) for n in ("name", "city", "isoCountry")]), "department": v("$.job.department.name"), "employment": v("$.job.employmentType"),
+        "requisition_id": v("$.job.requisitionId"), "external_id": v("$.extId"), "workplace_type": work, "remote": F.when(work == "remote", True), "posted_at": _epoch(v("$.firstPublishedTsSec")),
+    }
+
+
+def amazon(v: Value, key: Column, now: Column) -> dict[str, Column]:
+    day = F.regexp_replace(v("$.posted_date"), r"\s+", " ")
+    return {
+        "url": F.concat(F.lit("https://www.amazon.jobs"), v("$.job_path")), "title": v("$.title"), "location": _first(v("$.normalized_location"), v("$.location"), F.lit("unknown")),
+        "department": v("$.job_category"), "team": v("$.job_family"), "employment": v("$.job_schedule_type"), "posted_at": dates.first_layout(day), "external_id": v("$.id_icims"),
+    }
+
+
+RULES = {f.__name__: f for f in (workable, bamboohr, jibe, teamtailor, personio, workday, oraclecloud, phenom, eightfold, rippling, gem, amazon)}
 
 
 def parse(records: DataFrame, platform: str, now: Column | None = None) -> DataFrame:
