@@ -249,6 +249,26 @@ def test_blocks_link_by_every_text_of_an_id(spark):
     assert got == {(1, 2), (1, 3)}
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """Texts alike by half share buckets; split by further bands they still link as by all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "ROWS_IN_BAND", 1)  # crowded buckets
+    monkeypatch.setattr(near_dedup, "bands", lambda percent: 4)
+    rng = np.random.default_rng(2)
+    core = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        words = core + [f"u{i // 2}x{j}" for j in range(80)]
+        words[int(rng.integers(0, 120))] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    split = near_dedup.refined
+    monkeypatch.setattr(near_dedup, "refined", lambda m, b: seen.append((m.count(), (out := split(m, b)).count(), out.select("key").distinct().count() > m.select("key").distinct().count())) or out)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 3, 85)
+    assert seen and seen[0][2]
+
+
 @pytest.mark.parametrize("block,size", [(2, 1 << 18), (512, 60), (3, 40)])
 def test_blocks_lose_no_link(spark, monkeypatch, block, size):
     """However a crowded bucket is dealt, its components come together as by all pairs."""
