@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import held_out, map_values, table
 from .training import Adam, labelled_texts, sigmoid
 
-PER_CLASS = 1_000
+PER_CLASS = 800
 #: Lengths of n-grams anywhere in a word, and of those at its start only.
 SIZES, EDGES = (3, 4, 5), (6, 7, 8)
 BUCKET_BITS, DIM = 17, 4
@@ -124,28 +124,29 @@ class Model:
         return float(sigmoid(self.scale * np.log1p(self.worst(text)) + self.shift))
 
 
-def _sum_rows(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, first, axis=0) if len(first) else np.zeros((0, values.shape[1]))
-
-
 class _Bags:
-    """Means of rows of a table by group, and the gradient back to the table."""
+    """Means of rows of a table by group, and the gradient back to the table, a column at a time."""
 
     def __init__(self, group: np.ndarray, item: np.ndarray, n_groups: int, n_items: int):
         self.item, self.count = item, np.bincount(group, minlength=n_groups).astype(np.float32)
-        self.first = np.searchsorted(group, np.arange(n_groups))
+        self.first = np.searchsorted(group, np.arange(n_groups, dtype=group.dtype))
         order = np.argsort(item, kind="stable")
-        self.back, items = group[order], item[order]
+        self.back = group[order]
+        items = item[order]
         del order
-        self.touched, self.starts = np.unique(items, return_index=True)
-        self.n_items = n_items
+        self.starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+        self.touched, self.n_items = items[self.starts], n_items
 
     def mean(self, rows: np.ndarray) -> np.ndarray:
-        return _sum_rows(rows[self.item], self.first) / self.count[:, None]
+        out = np.empty((len(self.count), rows.shape[1]), dtype=np.float32)
+        for d in range(rows.shape[1]):
+            out[:, d] = np.add.reduceat(np.ascontiguousarray(rows[:, d])[self.item], self.first) / self.count
+        return out
 
     def gradient(self, grad: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n_items, grad.shape[1]), dtype=np.float32)
-        out[self.touched] = _sum_rows((grad / self.count[:, None])[self.back], self.starts)
+        for d in range(grad.shape[1]):
+            out[self.touched, d] = np.add.reduceat((grad[:, d] / self.count).astype(np.float32)[self.back], self.starts)
         return out
 
 
