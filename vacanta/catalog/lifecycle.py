@@ -71,6 +71,12 @@ def l09(s, d):
     return _whole(_folds(s, d, FOUR))
 
 
+@register("l09_fold_all_days", fold_sql(DAYS, WHOLE))
+def l09_all(s, d):
+    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").cast("string").alias("day")).filter("day IS NOT NULL").distinct().orderBy("day")
+    return _whole(_folds(s, d, [r["day"] for r in days.collect()]))
+
+
 @register("l07_refreshed_rows", fold_sql(FOUR, f"SELECT {ID} AS id, CAST(epoch_ms(first_at) AS BIGINT) AS first_seen, CAST(coalesce(epoch_ms(seen_at), -1) AS BIGINT) AS last_seen {JOINED} WHERE outcome IN ('new', 'unchanged', 'reopened')"))
 def l07(s, d):
     rows = _folds(s, d, FOUR).rows.filter(F.col("outcome").isin("new", "unchanged", "reopened"))

@@ -655,13 +655,6 @@ def l05(s, d):
     return _folds(s, d, ["2024-01-02", "2024-01-03"]).churn
 
 
-@register("l09_fold_all_days")
-def l09_all(s, d):
-    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").cast("string").alias("day")).filter("day IS NOT NULL").distinct().orderBy("day")
-    done = _folds(s, d, [r["day"] for r in days.collect()])
-    return done.rows.select("id", "basis", "missing", "reopens", "outcome", "state", F.col("closed.reason").alias("closed_reason"))
-
-
 # ------------------------------------------------------------------ entities, overlap, record
 
 
