@@ -16,7 +16,7 @@ DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
 
-@pytest.mark.parametrize("name", ["j07_proposals_all", "e07_examples_all"])
+@pytest.mark.parametrize("name", ["j07_proposals", "e07_examples"])
 def test_whole_tables_equal_sql(spark, name):
     import duckdb
 
@@ -54,7 +54,7 @@ def test_resolve_every_part(spark):
         short = " " not in norm and len(norm.encode()) < 5
         outcome = "ambiguous" if readings[k] > 1 else "contested" if len(names[e]) > 1 else "digit-trimmed" if confidence != "high" else "short-uncorroborated" if short else "match"
         want[outcome, method, confidence] += 1
-    got = {(r["outcome"], r["method"], r["confidence"]): r["n"] for r in QUERIES["e01_resolve_all"](spark, DATA).collect()}
+    got = {(r["outcome"], r["method"], r["confidence"]): r["n"] for r in QUERIES["e01_resolve"](spark, DATA).collect()}
     assert got == want and {r["p_partkey"] for r in rows if r["p_partkey"] >= 400} & {e for _, e in found}
 
 
@@ -97,8 +97,8 @@ def test_every_day_is_complete_as_in_sql(spark):
 
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{DATA}/events.parquet'")
-    got = Counter((r["day"], r["shard"], r["complete"]) for r in QUERIES["c08_complete_all_days"](spark, DATA).collect())
-    assert got == Counter(con.sql(f"select day, shard, complete from ({SQL['c08_complete_all_days']})").fetchall())
+    got = Counter((r["day"], r["shard"], r["complete"]) for r in QUERIES["c08_complete"](spark, DATA).collect())
+    assert got == Counter(con.sql(f"select day, shard, complete from ({SQL['c08_complete']})").fetchall())
 
 
 def test_every_finding_is_reported(spark, tmp_path):

@@ -10,22 +10,18 @@ from ..functions import hashes
 from ..operators import corpus, sinks
 from ..operators.storage import shared_dir
 from .queries import _folds, _runs, instant, register
-from .views import typed_postings, view
+from .views import DAYS, TWO, WEEKS, runs_of, span, typed_postings, view
 
-FOUR = ["2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]
-#: Every day of the month that the events cover.
-DAYS = [f"2024-01-{n:02d}" for n in range(1, 31)]
-
-
-def fold_sql(days: list[str], ask: str) -> str:
+def fold_sql(ends: list[str], ask: str) -> str:
     """``ask`` over rows_n (key, title, missing, reopens, closed, first_at, seen_at, outcome)
-    and src_n (key, tried, q, trail, streak, failures) after the runs of ``days``."""
+    and src_n (key, tried, q, trail, streak, failures) after the runs
+    of all events, dealt into spans that end at ``ends``."""
     parts = [
         "rows_0 AS (SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS title, 0 AS missing, 0 AS reopens, CAST(NULL AS VARCHAR) AS closed, "
         "CAST(NULL AS TIMESTAMP) AS first_at, CAST(NULL AS TIMESTAMP) AS seen_at, '' AS outcome WHERE false)",
         "src_0 AS (SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS TIMESTAMP) AS tried, CAST(NULL AS TIMESTAMP) AS q, CAST([] AS BIGINT[]) AS trail, 0 AS streak, 0 AS failures WHERE false)",
     ]
-    for i, day in enumerate(days, 1):
+    for i, day in enumerate(ends, 1):
         at, j = f"TIMESTAMP '{day} 12:00:00'", i - 1
         median = "CASE WHEN coalesce(len(trail), 0) = 0 THEN 0 WHEN len(trail) % 2 = 1 THEN list_sort(trail)[len(trail) // 2 + 1] ELSE (list_sort(trail)[len(trail) // 2] + list_sort(trail)[len(trail) // 2 + 1]) // 2 END"
         parts += [
@@ -39,7 +35,7 @@ def fold_sql(days: list[str], ask: str) -> str:
             "CASE WHEN NOT old THEN 'new' WHEN new AND closed IS NOT NULL THEN 'reopened' WHEN new THEN 'unchanged' WHEN gone AND missing + 1 >= 2 THEN 'closed' WHEN gone THEN 'missing' ELSE 'untouched' END AS outcome "
             "FROM (SELECT coalesce(b.key, n.key) AS key, coalesce(b.title, n.title) AS title, coalesce(b.missing, 0) AS missing, coalesce(b.reopens, 0) AS reopens, b.closed, b.first_at, b.seen_at, "
             "b.key IS NOT NULL AS old, n.key IS NOT NULL AS new, v.was_q, coalesce(v.ok, false) AS ok, b.key IS NOT NULL AND n.key IS NULL AND b.closed IS NULL AND coalesce(v.ok, false) AS gone "
-            f"FROM rows_{j} b FULL JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type AS title FROM events WHERE CAST(ts AS DATE) = DATE '{day}') n ON b.key = n.key AND b.title = n.title "
+            f"FROM rows_{j} b FULL JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type AS title FROM events WHERE {span(ends)} = DATE '{day}') n ON b.key = n.key AND b.title = n.title "
             f"LEFT JOIN run_{i} v ON v.key = coalesce(b.key, n.key)))",
             f"src_{i} AS MATERIALIZED (SELECT coalesce(s.key, r.key) AS key, CASE WHEN r.key IS NOT NULL THEN {at} ELSE s.tried END AS tried, CASE WHEN r.ok THEN {at} ELSE s.q END AS q, "
             "CASE WHEN r.ok THEN list_slice(list_append(coalesce(s.trail, []), CAST(r.postings AS BIGINT)), greatest(len(coalesce(s.trail, [])) + 1 - 6, 1), 99) ELSE coalesce(s.trail, []) END AS trail, "
@@ -47,13 +43,11 @@ def fold_sql(days: list[str], ask: str) -> str:
             "CASE WHEN r.key IS NULL THEN s.failures WHEN r.status = 'complete' AND r.errors = 0 THEN 0 ELSE coalesce(s.failures, 0) + 1 END AS failures "
             f"FROM src_{j} s FULL JOIN run_{i} r ON s.key = r.key)",
         ]
-    n = len(days)
-    from .views import VIEWS
-
-    now = f"TIMESTAMP '{days[-1]} 12:00:00'"
+    n = len(ends)
+    now = f"TIMESTAMP '{ends[-1]} 12:00:00'"
     state = f"CASE WHEN rows_n.closed IS NOT NULL THEN 'closed' WHEN src_n.q IS NULL THEN 'lapsed' WHEN {now} - src_n.q >= INTERVAL 1 DAY THEN 'stale' ELSE 'open' END"
     named = ask.replace("$state", state).replace("rows_n", f"rows_{n}").replace("src_n", f"src_{n}").replace("run_n", f"run_{n}")
-    return f"WITH v_runs AS ({VIEWS['v_runs']}), {', '.join(parts)} {named}"
+    return f"WITH v_runs AS ({runs_of(ends)}), {', '.join(parts)} {named}"
 
 
 ID = "substr(sha256('jht-corpus-id-v1' || chr(0) || 'events' || chr(0) || rows_n.key || chr(0) || 'descriptor' || chr(0) || sha256(title || chr(0) || '') || chr(0)), 1, 32)"
@@ -66,86 +60,90 @@ def _whole(done):
     return done.rows.select(*ROWS, F.col("closed.reason").alias("closed_reason"))
 
 
-@register("l09_fold_four_runs", fold_sql(FOUR, WHOLE))
+@register("l05_fold_two_runs", fold_sql(TWO, "SELECT outcome, count(*) AS n FROM rows_n GROUP BY 1"))
+def l05(s, d):
+    return _folds(s, d, TWO).churn
+
+
+@register("l09_fold_four_runs", fold_sql(WEEKS, WHOLE))
 def l09(s, d):
-    return _whole(_folds(s, d, FOUR))
+    return _whole(_folds(s, d, WEEKS))
 
 
 @register("l09_fold_all_days", fold_sql(DAYS, WHOLE))
 def l09_all(s, d):
-    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").cast("string").alias("day")).filter("day IS NOT NULL").distinct().orderBy("day")
-    return _whole(_folds(s, d, [r["day"] for r in days.collect()]))
+    return _whole(_folds(s, d, DAYS))
 
 
-@register("l07_refreshed_rows", fold_sql(FOUR, f"SELECT {ID} AS id, CAST(epoch_ms(first_at) AS BIGINT) AS first_seen, CAST(coalesce(epoch_ms(seen_at), -1) AS BIGINT) AS last_seen {JOINED} WHERE outcome IN ('new', 'unchanged', 'reopened')"))
+@register("l07_refreshed_rows", fold_sql(WEEKS, f"SELECT {ID} AS id, CAST(epoch_ms(first_at) AS BIGINT) AS first_seen, CAST(coalesce(epoch_ms(seen_at), -1) AS BIGINT) AS last_seen {JOINED} WHERE outcome IN ('new', 'unchanged', 'reopened')"))
 def l07(s, d):
-    rows = _folds(s, d, FOUR).rows.filter(F.col("outcome").isin("new", "unchanged", "reopened"))
+    rows = _folds(s, d, WEEKS).rows.filter(F.col("outcome").isin("new", "unchanged", "reopened"))
     return rows.select("id", F.unix_millis("first_seen").alias("first_seen"), F.coalesce(F.unix_millis("last_seen"), F.lit(-1)).alias("last_seen"))
 
 
-@register("l08_absent_rows", fold_sql(FOUR, f"SELECT {ID} AS id, outcome, CAST(missing AS INT) AS missing, CAST(coalesce(epoch_ms(seen_at), -1) AS BIGINT) AS last_seen, closed AS closed_reason {JOINED} WHERE outcome IN ('closed', 'missing', 'untouched')"))
+@register("l08_absent_rows", fold_sql(WEEKS, f"SELECT {ID} AS id, outcome, CAST(missing AS INT) AS missing, CAST(coalesce(epoch_ms(seen_at), -1) AS BIGINT) AS last_seen, closed AS closed_reason {JOINED} WHERE outcome IN ('closed', 'missing', 'untouched')"))
 def l08(s, d):
-    rows = _folds(s, d, FOUR).rows.filter(F.col("outcome").isin("closed", "missing", "untouched"))
+    rows = _folds(s, d, WEEKS).rows.filter(F.col("outcome").isin("closed", "missing", "untouched"))
     return rows.select("id", "outcome", "missing", F.coalesce(F.unix_millis("last_seen"), F.lit(-1)).alias("last_seen"), F.col("closed.reason").alias("closed_reason"))
 
 
-@register("l10_source_states", fold_sql(FOUR, "SELECT key, CAST(epoch_ms(tried) AS BIGINT) AS last_attempt, CAST(coalesce(epoch_ms(q), -1) AS BIGINT) AS last_qualifying, array_to_string(trail, ',') AS trailing, CAST(streak AS INT) AS empty_streak, CAST(failures AS INT) AS consecutive_failures FROM src_n"))
+@register("l10_source_states", fold_sql(WEEKS, "SELECT key, CAST(epoch_ms(tried) AS BIGINT) AS last_attempt, CAST(coalesce(epoch_ms(q), -1) AS BIGINT) AS last_qualifying, array_to_string(trail, ',') AS trailing, CAST(streak AS INT) AS empty_streak, CAST(failures AS INT) AS consecutive_failures FROM src_n"))
 def l10(s, d):
-    rows = _folds(s, d, FOUR).sources
+    rows = _folds(s, d, WEEKS).sources
     trail = F.array_join(F.transform("trailing", lambda x: x.cast("string")), ",").alias("trailing")
     return rows.select("source.key", F.unix_millis("last_attempt").alias("last_attempt"), F.coalesce(F.unix_millis("last_qualifying"), F.lit(-1)).alias("last_qualifying"), trail, "empty_streak", "consecutive_failures")
 
 
-@register("l12_open_counts", fold_sql(FOUR, f"SELECT key, CAST(count(*) FILTER (WHERE state = 'open') AS INT) AS open FROM (SELECT src_n.key, $state AS state, rows_n.title FROM src_n LEFT JOIN rows_n ON rows_n.key = src_n.key) WHERE true GROUP BY 1"))
+@register("l12_open_counts", fold_sql(WEEKS, f"SELECT key, CAST(count(*) FILTER (WHERE state = 'open') AS INT) AS open FROM (SELECT src_n.key, $state AS state, rows_n.title FROM src_n LEFT JOIN rows_n ON rows_n.key = src_n.key) WHERE true GROUP BY 1"))
 def l12(s, d):
-    return _folds(s, d, FOUR).sources.select("source.key", "open")
+    return _folds(s, d, WEEKS).sources.select("source.key", "open")
 
 
-@register("g14_churn", fold_sql(FOUR, "SELECT outcome, count(*) AS n FROM rows_n GROUP BY 1"))
+@register("g14_churn", fold_sql(WEEKS, "SELECT outcome, count(*) AS n FROM rows_n GROUP BY 1"))
 def g14(s, d):
-    return _folds(s, d, FOUR).churn
+    return _folds(s, d, WEEKS).churn
 
 
-@register("j05_verdicts_of_a_run", fold_sql(FOUR, "SELECT key, ok FROM run_n"))
+@register("j05_verdicts_of_a_run", fold_sql(WEEKS, "SELECT key, ok FROM run_n"))
 def j05(s, d):
-    return _folds(s, d, FOUR).verdicts.select("key", F.col("qualifies").alias("ok"))
+    return _folds(s, d, WEEKS).verdicts.select("key", F.col("qualifies").alias("ok"))
 
 
 def _stored(s, d):
     """A generation of the four runs, published and opened again."""
     folder = f"{shared_dir(s)}/corpus-{uuid.uuid4().hex}"
-    corpus.publish(folder, 1, _folds(s, d, FOUR), instant("2024-01-05T12:00:00"))
+    corpus.publish(folder, 1, _folds(s, d, WEEKS), instant("2024-01-30T12:00:00"))
     corpus.verify(s, folder)
     return folder, *corpus.open_corpus(s, folder)
 
 
-@register("k09_published_rows", fold_sql(FOUR, WHOLE))
+@register("k09_published_rows", fold_sql(WEEKS, WHOLE))
 def k09(s, d):
     rows = _stored(s, d)[2]
     return rows.select(*ROWS, F.col("closed.reason").alias("closed_reason"))
 
 
-@register("l13_verified_counts", fold_sql(FOUR, f"SELECT count(*) FILTER (WHERE state = 'open') AS open, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'closed') AS closed, count(*) FILTER (WHERE state = 'lapsed') AS lapsed, count(*) AS rows FROM (SELECT $state AS state {JOINED})"))
+@register("l13_verified_counts", fold_sql(WEEKS, f"SELECT count(*) FILTER (WHERE state = 'open') AS open, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'closed') AS closed, count(*) FILTER (WHERE state = 'lapsed') AS lapsed, count(*) AS rows FROM (SELECT $state AS state {JOINED})"))
 def l13(s, d):
     counts = _stored(s, d)[1]["counts"]
     return s.createDataFrame([tuple(counts[x] for x in ("open", "stale", "closed", "lapsed", "rows"))], "open long, stale long, closed long, lapsed long, rows long")
 
 
-@register("l17_inspected_runs", fold_sql(FOUR, "SELECT outcome, count(*) AS n FROM rows_n GROUP BY 1"))
+@register("l17_inspected_runs", fold_sql(WEEKS, "SELECT outcome, count(*) AS n FROM rows_n GROUP BY 1"))
 def l17(s, d):
     run = corpus.inspect(s, _stored(s, d)[0], 1)["runs"][-1]
     return s.createDataFrame(sorted(run["churn"].items()), "outcome string, n long")
 
 
-@register("k08_flat_columns", fold_sql(FOUR, f"SELECT {ID} AS id, rows_n.key AS source_key, title, CAST(epoch_ms(first_at) AS BIGINT) AS first_seen, coalesce(closed, '') AS closed_reason, 0 AS remote, 0 AS compensation {JOINED}"))
+@register("k08_flat_columns", fold_sql(WEEKS, f"SELECT {ID} AS id, rows_n.key AS source_key, title, CAST(epoch_ms(first_at) AS BIGINT) AS first_seen, coalesce(closed, '') AS closed_reason, 0 AS remote, 0 AS compensation {JOINED}"))
 def k08(s, d):
-    return corpus.flat(_folds(s, d, FOUR).rows).select("id", "source_key", "title", "first_seen", "closed_reason", "remote", "compensation")
+    return corpus.flat(_folds(s, d, WEEKS).rows).select("id", "source_key", "title", "first_seen", "closed_reason", "remote", "compensation")
 
 
-@register("j06_seen_and_state", fold_sql(FOUR, f"SELECT {ID} AS id, CAST(coalesce(epoch_ms(coalesce(seen_at, src_n.q)), -1) AS BIGINT) AS seen, CASE WHEN closed IS NOT NULL THEN 'closed' WHEN src_n.q IS NULL THEN 'lapsed' WHEN TIMESTAMP '2024-01-07 00:00:00' - src_n.q >= INTERVAL 1 DAY THEN 'stale' ELSE 'open' END AS state {JOINED}"))
+@register("j06_seen_and_state", fold_sql(WEEKS, f"SELECT {ID} AS id, CAST(coalesce(epoch_ms(coalesce(seen_at, src_n.q)), -1) AS BIGINT) AS seen, CASE WHEN closed IS NOT NULL THEN 'closed' WHEN src_n.q IS NULL THEN 'lapsed' WHEN TIMESTAMP '2024-02-01 00:00:00' - src_n.q >= INTERVAL 1 DAY THEN 'stale' ELSE 'open' END AS state {JOINED}"))
 def j06(s, d):
-    done = _folds(s, d, FOUR)
-    rows = corpus.with_state(done.rows.drop("state"), done.sources, instant("2024-01-07T00:00:00"))
+    done = _folds(s, d, WEEKS)
+    rows = corpus.with_state(done.rows.drop("state"), done.sources, instant("2024-02-01T00:00:00"))
     return rows.select("id", F.coalesce(F.unix_millis("seen"), F.lit(-1)).alias("seen"), "state")
 
 

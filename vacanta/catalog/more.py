@@ -119,15 +119,8 @@ def c19(s, d):
     return schedule.relabel(rows, rows.filter(k % 3 == 0)).select("key", "status")
 
 
-@register("e07_examples", f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, array_to_string(list_slice(list_sort(list(DISTINCT a.v)), 1, 3), ',') AS examples FROM ({_EVID}) a JOIN ({_EVID}) b ON a.v = b.v WHERE a.src < 10 AND b.src < 10 AND a.src < b.src GROUP BY 1, 2")
+@register("e07_examples", f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, array_to_string(list_slice(list_sort(list(DISTINCT a.v)), 1, 3), ',') AS examples FROM ({_EVID}) a JOIN ({_EVID}) b ON a.v = b.v WHERE 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2")
 def e07(s, d):
-    facts = _facts(s, d).filter(F.col("key").cast("int") < 10)
-    pairs = resolve.overlaps(facts).select("a", "b")
-    return resolve.examples(facts, pairs).select("a", "b", F.array_join("examples", ",").alias("examples"))
-
-
-@register("e07_examples_all", f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, array_to_string(list_slice(list_sort(list(DISTINCT a.v)), 1, 3), ',') AS examples FROM ({_EVID}) a JOIN ({_EVID}) b ON a.v = b.v WHERE 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2")
-def e07_all(s, d):
     facts = _facts(s, d)
     pairs = resolve.overlaps(facts).select("a", "b")
     return resolve.examples(facts, pairs).select("a", "b", F.array_join("examples", ",").alias("examples"))

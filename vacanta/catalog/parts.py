@@ -15,7 +15,7 @@ from ..plans.query import Query, check_scope, parse_age, parse_posted_since, too
 from ..schema import MANIFEST, SCHED_GROUPS, SCHED_SOURCES
 from ..sources import facets, readers
 from .more import _table
-from .queries import EMPLOYMENT, KEY, WORKPLACE, _EVID, _STATE, _employers, _facts, _runs, _sched, _sched_state, _SCHED, instant, register, staged
+from .queries import EMPLOYMENT, KEY, WORKPLACE, _ENOUGH, _EVID, _LINES, _SCHED, _SHARED, _STATE, _employers, _facts, _line_facts, _runs, _sched, _sched_state, instant, register, staged
 from .views import typed_postings, view
 
 
@@ -110,7 +110,7 @@ def p13(s, d):
     return odd.unionByName(query.apply(rows.filter("seq % 2 = 0"))).select("seq", "tie")
 
 
-_FINDINGS = f"SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({_EVID})) a JOIN (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({_EVID})) b ON a.v = b.v AND 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2"
+_FINDINGS = _SHARED(_EVID)
 
 
 @register("g24_pair_counts", f"SELECT count(*) AS pairs, CAST(sum(shared) AS BIGINT) AS shared FROM ({_FINDINGS})")
@@ -721,9 +721,9 @@ def k16(s, d):
     return readers.tsv(s, path, ["platform", "key", "company"])
 
 
-@register("k18_findings_file", f"SELECT a, b, CAST(shared AS BIGINT) AS req FROM ({_FINDINGS}) WHERE shared >= 5 AND shared >= 0.5 * na AND shared >= 0.5 * nb")
+@register("k18_findings_file", f"SELECT a, b, CAST(shared AS BIGINT) AS req FROM ({_SHARED(_LINES)}) WHERE {_ENOUGH}")
 def k18(s, d):
-    path, found = folder(s, "findings"), resolve.findings(resolve.overlaps(_facts(s, d)))
+    path, found = folder(s, "findings"), resolve.findings(resolve.overlaps(_line_facts(s, d)))
     sinks.write_findings(found, path)
     return s.read.schema("a string, b string, req long").json(path)
 

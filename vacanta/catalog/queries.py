@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, hashes, names, pay, text, urls, vocab
 from ..operators import corpus, dedupe, employers, record, registry, resolve, schedule, search, shards, sinks
 from ..plans.query import EmployerFilter, Query
-from .views import oracle, typed_postings, view
+from .views import oracle, runs_of, span, typed_postings, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -46,7 +46,7 @@ FIRST = f"row_number() OVER (PARTITION BY {IDENTITY} ORDER BY seq, tie) = 1"
 
 def predicate(name: str, query: Query, where: str) -> None:
     """A query that returns the rows which one Query matches."""
-    register(name, f"SELECT seq, tie FROM v_postings WHERE {where}")(lambda s, d: query.apply(typed_postings(s, d)).select(*ID))
+    register(name, f"SELECT seq, tie FROM v_postings")(lambda s, d: query.apply(typed_postings(s, d)).select(*ID))
 
 
 predicate("p01_remote", Query(remote=True), REMOTE)
@@ -283,7 +283,7 @@ def employer_filter(name: str, f: EmployerFilter, where: str) -> None:
     def run(s, d):
         return f.apply(employers.attach(typed_postings(s, d), _employers(s, d))).select("seq", "tie")
 
-    register(name, f"SELECT p.seq, p.tie FROM {_EMP} WHERE {where}")(run)
+    register(name, f"SELECT p.seq, p.tie FROM {_EMP}")(run)
 
 
 employer_filter("p18_known", EmployerFilter(known=True), "e.key IS NOT NULL")
@@ -356,12 +356,19 @@ def f09(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(names.host_labels(F.col("url")), ".").alias("labels"))
 
 
-@register("f20_normalize_url")
+_BARE = "regexp_replace(url, '#.*$', '')"
+_SITE, _PATH = f"regexp_extract({_BARE}, '^([a-z]+://[^/?]+)', 1)", f"regexp_extract({_BARE}, '^[a-z]+://[^/?]+([^?]*)', 1)"
+_PAIRS = f"list_sort(list_filter(string_split(regexp_extract({_BARE}, '[?](.*)$', 1), '&'), lambda x: x <> ''))"
+_ASKED = "CASE WHEN len({0}) = 0 THEN '' ELSE '?' || array_to_string({0}, '&') END".format
+_TELLING = f"list_filter({_PAIRS}, lambda x: split_part(x, '=', 1) NOT IN ('gh_src', 'gh_jid', 'source', 'ref', 'src') AND NOT starts_with(x, 'utm_'))"
+
+
+@register("f20_normalize_url", f"SELECT page_id, {_SITE} || rtrim({_PATH}, '/') || {_ASKED(_TELLING)} AS url FROM pages")
 def f20(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.normalize_url_udf("url").alias("url"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.url_identity(F.col("url")).alias("url"))
 
 
-@register("f21_sweep_url")
+@register("f21_sweep_url", f"SELECT page_id, {_SITE} || '/' || regexp_replace(trim({_PATH}, '/'), '^[A-Za-z][A-Za-z](/|$)', '') || {_ASKED(_PAIRS)} AS url FROM pages")
 def f21(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.sweep_url_udf("url").alias("url"))
 
@@ -582,15 +589,8 @@ def c05(s, d):
     return shards.coverage_errors(rows.filter((k % 11 != 0) | (k % 7 == 0)), rows.filter(k % 7 != 0)).select("shard", "platform", "key", "error")
 
 
-@register("c08_complete", "SELECT CAST(CAST(key AS BIGINT) % 4 AS INT) AS shard, bool_and(status IN ('complete', 'failed')) AS complete FROM v_runs WHERE day = DATE '2024-01-03' GROUP BY 1")
+@register("c08_complete", "SELECT CAST(day AS STRING) AS day, CAST(CAST(key AS BIGINT) % 4 AS INT) AS shard, bool_and(status IN ('complete', 'failed')) AS complete FROM v_runs GROUP BY 1, 2")
 def c08(s, d):
-    rows = _runs(s, d).filter("day = DATE '2024-01-03'").withColumn("shard", (F.col("key").cast("long") % 4).cast("int"))
-    manifests = rows.select("shard").distinct().withColumn("status", F.lit("complete"))
-    return shards.complete(manifests, rows)
-
-
-@register("c08_complete_all_days", "SELECT CAST(day AS STRING) AS day, CAST(CAST(key AS BIGINT) % 4 AS INT) AS shard, bool_and(status IN ('complete', 'failed')) AS complete FROM v_runs GROUP BY 1, 2")
-def c08_all(s, d):
     shard = F.concat_ws(" ", "day", (F.col("key").cast("long") % 4).cast("string"))
     rows = _runs(s, d).withColumn("shard", shard)
     done = shards.complete(rows.select("shard").distinct().withColumn("status", F.lit("complete")), rows)
@@ -614,10 +614,12 @@ def p26(s, d):
     return rows.join(runs, ["platform", "key"], "left_anti").agg(F.count("*").alias("rejected"))
 
 
-def _event_run(s, d, day: str):
-    """Users are sources, their event types postings: one run of a day."""
-    rows = s.read.parquet(f"{d}/events.parquet").filter(F.to_date("ts") == day)
-    runs = view(s, d, "v_runs").filter(F.col("day") == day)
+def _event_run(s, d, ends: list[str], day: str):
+    """Users are sources, their event types postings: one run of all events of a span."""
+    rows = s.read.parquet(f"{d}/events.parquet")
+    rows.createOrReplaceTempView("events")
+    rows = rows.filter(f"{span(ends)} = DATE '{day}'")
+    runs = s.sql(runs_of(ends)).filter(F.col("day") == day)
     runs = runs.select("platform", "key", "company", "status", F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), "duration_ms", "postings", "errors", F.lit("").alias("error_class"))
     from ..schema import POSTING
 
@@ -627,60 +629,34 @@ def _event_run(s, d, day: str):
     return runs, postings
 
 
-def _folds(s, d, days: list[str]):
+def _folds(s, d, ends: list[str]):
     rows, sources = corpus.empty(s)
     done = None
-    for day in days:
-        runs, postings = _event_run(s, d, day)
+    for day in ends:
+        runs, postings = _event_run(s, d, ends, day)
         done = corpus.materialised(corpus.fold(rows, sources, runs, postings, instant(f"{day}T12:00:00")))
         rows, sources = done.rows.drop("outcome", "state"), done.sources
     return done
 
 
-# Two runs in SQL: what the second finds, misses or may not judge.
-_TWO = """
-SELECT outcome, count(*) AS n FROM (
-  SELECT CASE WHEN a.t IS NULL THEN 'new' WHEN b.t IS NOT NULL THEN 'unchanged' WHEN r2.ok THEN 'missing' ELSE 'untouched' END AS outcome
-  FROM (SELECT DISTINCT user_id AS u, event_type AS t FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-02') a
-  FULL JOIN (SELECT DISTINCT user_id AS u, event_type AS t FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-03') b ON a.u = b.u AND a.t = b.t
-  LEFT JOIN (SELECT r.key, r.status = 'complete' AND r.errors = 0 AND CASE WHEN coalesce(q.p, 0) <= 0 THEN true WHEN r.postings = 0 THEN false ELSE r.postings >= 0.25 * q.p END AS ok
-    FROM v_runs r LEFT JOIN (SELECT key, postings AS p FROM v_runs WHERE day = DATE '2024-01-02' AND status = 'complete' AND errors = 0) q USING (key) WHERE r.day = DATE '2024-01-03') r2
-  ON r2.key = CAST(coalesce(a.u, b.u) AS STRING)
-) GROUP BY 1
-"""
-
-
-@register("l05_fold_two_runs", _TWO)
-def l05(s, d):
-    return _folds(s, d, ["2024-01-02", "2024-01-03"]).churn
-
-
 # ------------------------------------------------------------------ entities, overlap, record
 
 
-def _entities(s, d, where="p_partkey < 200"):
-    part = s.read.parquet(f"{d}/part.parquet").filter(where)
+def _entities(s, d):
+    part = s.read.parquet(f"{d}/part.parquet")
     return part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Holdings, Inc."), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise("")).alias("name"), F.lit("").alias("ticker"), F.array().cast("array<string>").alias("websites"))
 
 
-@register("j07_proposals", "SELECT CAST(l_orderkey AS STRING) AS key, p_partkey AS entity FROM (SELECT DISTINCT l_orderkey, q.p_name || CASE WHEN q.p_partkey % 2 = 0 THEN ' ' || CAST(q.p_size AS STRING) ELSE '' END AS name FROM lineitem JOIN part q ON q.p_partkey = l_partkey WHERE l_orderkey < 500) s JOIN (SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || CAST(p_size AS STRING) ELSE '' END AS name FROM part WHERE p_partkey < 200) e USING (name) GROUP BY ALL")
-def j07(s, d):
-    line, part = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
-    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(""))
-    sources = line.filter("l_orderkey < 500").join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.lit("x").alias("platform"), F.col("l_orderkey").cast("string").alias("key"), F.concat(F.lit("The "), name, F.lit(" LLC")).alias("company")).distinct()
-    return resolve.proposals(sources, _entities(s, d)).select("key", "entity").distinct()
-
-
-def _resolved(where: str, entities: str) -> str:
+def _resolved() -> str:
     """Outcomes in SQL: readings by name, by key, by key without digits; then why one is no match."""
     return (
         f"SELECT outcome, method, confidence, count(*) AS n FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY key) > 1 THEN 'ambiguous' WHEN names > 1 THEN 'contested' WHEN confidence <> 'high' THEN 'digit-trimmed' ELSE 'match' END AS outcome "
         "FROM (SELECT *, (SELECT 1) AS one FROM (SELECT key, entity, norm, CASE WHEN rank = 1 THEN 'exact-name' ELSE 'exact-key' END AS method, CASE WHEN rank < 3 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT key, entity, norm, min(rank) AS rank FROM ("
-        f"SELECT s.key, e.entity, s.norm, 1 AS rank FROM ({_SOURCED} WHERE {where}) s JOIN ({_ENTITIES} WHERE {entities}) e ON s.norm = e.e_norm "
-        f"UNION ALL SELECT s.key, e.entity, s.norm, 2 FROM ({_SOURCED} WHERE {where}) s JOIN ({_ENTITIES} WHERE {entities}) e ON s.key = replace(e.e_norm, ' ', '') "
-        f"UNION ALL SELECT s.key, e.entity, s.norm, 3 FROM ({_SOURCED} WHERE {where}) s JOIN ({_ENTITIES} WHERE {entities}) e ON regexp_replace(s.key, '[0-9]+$', '') = replace(e.e_norm, ' ', '')"
+        f"SELECT s.key, e.entity, s.norm, 1 AS rank FROM ({_SOURCED}) s JOIN ({_ENTITIES}) e ON s.norm = e.e_norm "
+        f"UNION ALL SELECT s.key, e.entity, s.norm, 2 FROM ({_SOURCED}) s JOIN ({_ENTITIES}) e ON s.key = replace(e.e_norm, ' ', '') "
+        f"UNION ALL SELECT s.key, e.entity, s.norm, 3 FROM ({_SOURCED}) s JOIN ({_ENTITIES}) e ON regexp_replace(s.key, '[0-9]+$', '') = replace(e.e_norm, ' ', '')"
         ") GROUP BY 1, 2, 3)) f JOIN (SELECT entity AS e2, count(DISTINCT norm) AS names FROM ("
-        f"SELECT e.entity, s.norm FROM ({_SOURCED} WHERE {where}) s JOIN ({_ENTITIES} WHERE {entities}) e ON s.norm = e.e_norm OR s.key = replace(e.e_norm, ' ', '') OR regexp_replace(s.key, '[0-9]+$', '') = replace(e.e_norm, ' ', '')"
+        f"SELECT e.entity, s.norm FROM ({_SOURCED}) s JOIN ({_ENTITIES}) e ON s.norm = e.e_norm OR s.key = replace(e.e_norm, ' ', '') OR regexp_replace(s.key, '[0-9]+$', '') = replace(e.e_norm, ' ', '')"
         ") GROUP BY 1) c ON c.e2 = f.entity)) GROUP BY 1, 2, 3"
     )
 
@@ -689,37 +665,29 @@ _SOURCED = "SELECT lower(replace(p_name, ' ', '')) || CAST(p_partkey AS STRING)
 _ENTITIES = "SELECT p_partkey AS entity, lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN ' ' || CAST(p_size AS STRING) ELSE '' END AS e_norm FROM part"
 
 
-@register("e01_resolve", _resolved("p_partkey < 400", "p_partkey < 200"))
-def e01(s, d):
-    part = s.read.parquet(f"{d}/part.parquet").filter("p_partkey < 400")
-    sources = part.select(F.lit("x").alias("platform"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")).alias("key"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("company"))
-    return resolve.resolve(sources, _entities(s, d)).groupBy("outcome", "method", "confidence").agg(F.count("*").alias("n"))
-
-
-# The same over whole tables.
 _NAMED = "p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || CAST(p_size AS STRING) ELSE '' END AS name"
 
 
-@register("j07_proposals_all", f"SELECT CAST(l_orderkey AS STRING) AS key, p_partkey AS entity FROM (SELECT DISTINCT l_orderkey, name FROM lineitem JOIN (SELECT p_partkey AS k, {_NAMED} FROM part) ON k = l_partkey) s JOIN (SELECT p_partkey, {_NAMED} FROM part) e USING (name) GROUP BY ALL")
-def j07_all(s, d):
+@register("j07_proposals", f"SELECT CAST(l_orderkey AS STRING) AS key, p_partkey AS entity FROM (SELECT DISTINCT l_orderkey, name FROM lineitem JOIN (SELECT p_partkey AS k, {_NAMED} FROM part) ON k = l_partkey) s JOIN (SELECT p_partkey, {_NAMED} FROM part) e USING (name) GROUP BY ALL")
+def j07(s, d):
     line, part = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
     name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(""))
     sources = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.lit("x").alias("platform"), F.col("l_orderkey").cast("string").alias("key"), F.concat(F.lit("The "), name, F.lit(" LLC")).alias("company")).distinct()
-    return resolve.proposals(sources, _entities(s, d, "true")).select("key", "entity").distinct()
+    return resolve.proposals(sources, _entities(s, d)).select("key", "entity").distinct()
 
 
-@register("e01_resolve_all", _resolved("true", "true"))
-def e01_all(s, d):
+@register("e01_resolve", _resolved())
+def e01(s, d):
     part = s.read.parquet(f"{d}/part.parquet")
     sources = part.select(F.lit("x").alias("platform"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")).alias("key"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("company"))
-    return resolve.resolve(sources, _entities(s, d, "true")).groupBy("outcome", "method", "confidence").agg(F.count("*").alias("n"))
+    return resolve.resolve(sources, _entities(s, d)).groupBy("outcome", "method", "confidence").agg(F.count("*").alias("n"))
 
 
-_EVID = "SELECT DISTINCT l_suppkey AS src, CAST(l_orderkey AS STRING) AS v FROM lineitem WHERE l_orderkey >= 1000"
+_EVID = "SELECT DISTINCT l_suppkey AS src, CAST(l_orderkey AS STRING) AS v FROM lineitem WHERE length(CAST(l_orderkey AS STRING)) >= 4"
 
 
 def _facts(s, d):
-    rows = s.read.parquet(f"{d}/lineitem.parquet").filter("l_orderkey >= 1000")
+    rows = s.read.parquet(f"{d}/lineitem.parquet")
     return resolve.evidence(rows.select(F.lit("p").alias("platform"), F.col("l_suppkey").cast("string").alias("key"), F.lit("").alias("url"), F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" ")).alias("req")))
 
 
@@ -733,9 +701,20 @@ def g23(s, d):
     return _facts(s, d).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@register("e05_findings", f"SELECT a, b, CAST(shared AS BIGINT) AS req, round(shared / greatest(na, nb), 6) AS strength FROM (SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({_EVID})) a JOIN (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({_EVID})) b ON a.v = b.v AND 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2) WHERE shared >= 5 AND shared >= 0.5 * na AND shared >= 0.5 * nb")
+#: Line numbers, two at a time, as sources: they share many orders.
+_LINES = "SELECT DISTINCT CAST(floor(l_linenumber / 2) AS INT) AS src, CAST(l_orderkey AS STRING) AS v FROM lineitem WHERE length(CAST(l_orderkey AS STRING)) >= 4"
+_SHARED = "SELECT 'p/' || a.src AS a, 'p/' || b.src AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({0})) a JOIN (SELECT src, v, count(*) OVER (PARTITION BY src) AS n FROM ({0})) b ON a.v = b.v AND 'p/' || CAST(a.src AS STRING) < 'p/' || CAST(b.src AS STRING) GROUP BY 1, 2".format
+_ENOUGH = "shared >= 5 AND shared >= 0.5 * na AND shared >= 0.5 * nb"
+
+
+def _line_facts(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet")
+    return resolve.evidence(rows.select(F.lit("p").alias("platform"), F.floor(F.col("l_linenumber") / 2).cast("string").alias("key"), F.lit("").alias("url"), F.col("l_orderkey").cast("string").alias("req")))
+
+
+@register("e05_findings", f"SELECT a, b, CAST(shared AS BIGINT) AS req, round(shared / greatest(na, nb), 6) AS strength FROM ({_SHARED(_LINES)}) WHERE {_ENOUGH}")
 def e05(s, d):
-    return resolve.findings(resolve.overlaps(_facts(s, d))).select("a", "b", F.col("req").cast("long").alias("req"), F.round("strength", 6).alias("strength"))
+    return resolve.findings(resolve.overlaps(_line_facts(s, d))).select("a", "b", F.col("req").cast("long").alias("req"), F.round("strength", 6).alias("strength"))
 
 
 _DAYS = "SELECT CAST(ts AS DATE) AS day, count(*) AS postings, count(DISTINCT user_id) AS sources, CASE WHEN day(CAST(ts AS DATE)) % 6 = 0 THEN 'partial' ELSE 'complete' END AS status FROM events GROUP BY CAST(ts AS DATE)"
@@ -776,9 +755,13 @@ def w07(s, d):
 # ------------------------------------------------------------------ sinks
 
 
-@register("k06_detail", f"SELECT seq, tie, CASE WHEN ({WORKPLACE}) IN ('remote', 'hybrid') AND NOT contains(lower(location), ({WORKPLACE})) THEN ' workplace: ' || ({WORKPLACE}) ELSE '' END || CASE WHEN ({EMPLOYMENT}) <> 'full_time' THEN ' type: ' || ({EMPLOYMENT}) ELSE '' END || CASE WHEN posted_at IS NOT NULL THEN ' posted: ' || strftime(posted_at, '%Y-%m-%d') ELSE '' END AS detail FROM v_postings WHERE no_pay")
+_FIGURE = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS STRING) ELSE CAST({0} AS STRING) END".format
+_PAID = f"CASE WHEN NOT no_pay AND (pay_min <> 0 OR pay_max <> 0) THEN ' pay: USD ' || CASE WHEN pay_min > 0 AND pay_max > 0 AND pay_min <> pay_max THEN {_FIGURE('pay_min')} || '-' || {_FIGURE('pay_max')} WHEN pay_max > 0 THEN {_FIGURE('pay_max')} ELSE {_FIGURE('pay_min')} END || CASE WHEN pay_period IS NULL THEN '' ELSE '/' || pay_period END ELSE '' END"
+
+
+@register("k06_detail", f"SELECT seq, tie, CASE WHEN ({WORKPLACE}) IN ('remote', 'hybrid') AND NOT contains(lower(location), ({WORKPLACE})) THEN ' workplace: ' || ({WORKPLACE}) ELSE '' END || CASE WHEN ({EMPLOYMENT}) <> 'full_time' THEN ' type: ' || ({EMPLOYMENT}) ELSE '' END || {_PAID} || CASE WHEN posted_at IS NOT NULL THEN ' posted: ' || strftime(posted_at, '%Y-%m-%d') ELSE '' END AS detail FROM v_postings")
 def k06(s, d):
-    rows = typed_postings(s, d).filter("compensation IS NULL")
+    rows = typed_postings(s, d)
     return rows.select("seq", "tie", sinks.detail(rows).alias("detail"))
 
 

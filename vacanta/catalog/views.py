@@ -61,6 +61,21 @@ FROM (SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n, sum(CASE WHEN even
 """
 
 
+def span(ends: list[str]) -> str:
+    """SQL of the last day of the span that an event lies in; the last span has no end."""
+    return "CASE " + " ".join(f"WHEN CAST(ts AS DATE) <= DATE '{e}' THEN DATE '{e}'" for e in ends[:-1]) + f" ELSE DATE '{ends[-1]}' END"
+
+
+#: The events as two, four or thirty runs: each takes all events of its span.
+TWO = ["2024-01-03", "2024-01-30"]
+WEEKS = ["2024-01-08", "2024-01-16", "2024-01-23", "2024-01-30"]
+DAYS = [f"2024-01-{n:02d}" for n in range(1, 31)]
+
+
+def runs_of(ends: list[str]) -> str:
+    return RUNS.replace("CAST(ts AS DATE)", span(ends))
+
+
 VIEWS = {"v_sources": SOURCES, "v_postings": POSTINGS, "v_employers": EMPLOYERS, "v_runs": RUNS}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
 
