@@ -251,28 +251,28 @@ def f49(s, d):
     return view(s, d, "v_postings").select("seq", "tie", made["min"].alias("low"), made["max"].alias("high"))
 
 
-@register("f44_pay_from_text", "SELECT p_partkey, p_size * 1500.0 + 20000 AS low, p_size * 2500.0 + 20000 AS high, 'year' AS period FROM part")
+@register("f44_pay_from_text", "SELECT p_partkey, CAST(p_size * 1500 + 20000 AS DOUBLE) AS low, CAST(p_size * 2500 + 20000 AS DOUBLE) AS high, 'year' AS period FROM part")
 def f44(s, d):
     size = F.col("p_size")
     words = F.format_string("We pay well. Base salary range: $%d - $%d per year. <b>401(k)</b> match.", size * 1500 + 20000, size * 2500 + 20000)
     return _table(s, d, "part").select("p_partkey", text_pay_udf(words).alias("pay")).select("p_partkey", F.col("pay.min").alias("low"), F.col("pay.max").alias("high"), "pay.period")
 
 
-@register("f45_open_ended_pay", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE p_size + 20.0 END AS low, CASE WHEN p_size % 2 = 0 THEN p_size + 20.0 ELSE 0.0 END AS high, 'EUR' AS currency FROM part")
+@register("f45_open_ended_pay", "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size + 20 END AS DOUBLE) AS low, CAST(CASE WHEN p_size % 2 = 0 THEN p_size + 20 ELSE 0 END AS DOUBLE) AS high, 'EUR' AS currency FROM part")
 def f45(s, d):
     size = F.col("p_size")
     words = F.when(size % 2 == 0, F.format_string("Hourly rate: up to EUR %d per hour", size + 20)).otherwise(F.format_string("Hourly rate: starting at EUR %d per hour", size + 20))
     return _table(s, d, "part").select("p_partkey", text_pay_udf(words).alias("pay")).select("p_partkey", F.col("pay.min").alias("low"), F.col("pay.max").alias("high"), "pay.currency")
 
 
-@register("f47_pay_from_markup", "SELECT p_partkey, p_size * 1000.0 + 30000 AS low, p_size * 2000.0 + 30000 AS high, 'structured' AS provenance FROM part")
+@register("f47_pay_from_markup", "SELECT p_partkey, CAST(p_size * 1000 + 30000 AS DOUBLE) AS low, CAST(p_size * 2000 + 30000 AS DOUBLE) AS high, 'structured' AS provenance FROM part")
 def f47(s, d):
     size = F.col("p_size")
     words = F.format_string('<p>x</p><div class="pay-range"><span>$%d</span>&mdash;<span>$%d USD</span></div>', size * 1000 + 30000, size * 2000 + 30000)
     return _table(s, d, "part").select("p_partkey", description_pay_udf(words).alias("pay")).select("p_partkey", F.col("pay.min").alias("low"), F.col("pay.max").alias("high"), "pay.provenance")
 
 
-@register("f50_salary_field", "SELECT p_partkey, p_size + 20.0 AS low, p_size + 45.0 AS high, 'hour' AS period, 'employer' AS provenance FROM part")
+@register("f50_salary_field", "SELECT p_partkey, CAST(p_size + 20 AS DOUBLE) AS low, CAST(p_size + 45 AS DOUBLE) AS high, 'hour' AS period, 'employer' AS provenance FROM part")
 def f50(s, d):
     words = F.format_string("$%d - $%d / hr", F.col("p_size") + 20, F.col("p_size") + 45)
     return _table(s, d, "part").select("p_partkey", salary_pay_udf(words).alias("pay")).select("p_partkey", F.col("pay.min").alias("low"), F.col("pay.max").alias("high"), "pay.period", "pay.provenance")
