@@ -53,8 +53,14 @@ KEPT_WORDS = 800_000
 # The word pattern of the tokenizer for texts of characters up to U+012F,
 # where lower-casing and composition need no more than Python's; others take the tokenizer.
 _LETTERS, _NUMBERS, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-į", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
+_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile("[^\t-\r -~\x85\xa0-į]")
+_PLAIN = bytes([*range(9, 14), *range(32, 127)])
+
+
+def _is_other(text: str) -> bool:
+    """Whether ``text`` holds characters that are the library's own business."""
+    return bool(text.encode().translate(None, _PLAIN)) if text.isascii() else bool(_OTHER.search(text))
 
 
 class WordTokenizer:
@@ -91,16 +97,30 @@ class WordTokenizer:
                 self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if _OTHER.search(text) or self.special.search(text):
+        if _is_other(text) or self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        found, kept = _WORD.findall(text.lower()), self.kept
-        try:
-            raw = b"".join(map(kept.__getitem__, found))
-        except KeyError:
+        # words do not cross white space, so what stands between it is looked up as one
+        found, kept = text.lower().split(), self.kept
+        raw = list(map(kept.get, found))
+        if None in raw:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-            self.learn(list(set(found).difference(kept)))
-            raw = b"".join(map(kept.__getitem__, found))
+                raw = [None] * len(found)
+            at = [i for i, ids in enumerate(raw) if ids is None]
+            new = {chunk: _WORD.findall(chunk) for chunk in {found[i] for i in at}}
+            words = {w for parts in new.values() for w in parts}.difference(kept)
+            if words:
+                self.learn(list(words))
+            for chunk, parts in new.items():
+                if len(parts) > 1:
+                    new[chunk] = b"".join(map(kept.__getitem__, parts))
+                    if words.isdisjoint(parts):  # all its words were met before, so it may come again
+                        kept[chunk] = new[chunk]
+                else:
+                    new[chunk] = kept[chunk]
+            for i in at:
+                raw[i] = new[found[i]]
+        raw = b"".join(raw)
         return np.frombuffer(raw, dtype="<u4")
 
 
