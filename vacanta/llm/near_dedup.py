@@ -11,8 +11,7 @@ No group is expanded into all of its pairs:
 * texts with equal sets are one class, represented by its least doc_id;
 * in each band's bucket, members are first compared with the bucket's least member only;
 * after that, only buckets of three or more that still hold several components are
-  compared on full sets, block by block, and a block gives fewer links than members;
-  where many of a bucket's texts lie in no common component, it is split by a further band.
+  compared on full sets, block by block, and a block gives fewer links than members.
 
 The number of bands is such that a pair at the threshold is missed with a probability
 below ``MISS``; the likelihood drops a pair at ``SIGMAS`` standard errors below it.
@@ -48,6 +47,8 @@ BLOCK, COLUMNS = 512, 4_096
 BLOCK_SIZE = 1 << 18
 #: Shingles hashed into all registers at once.
 CHUNK = 2_048
+#: Links that one task joins into components; 16 bytes each.
+AT_ONCE = 1 << 21
 
 
 def bands(percent: int) -> int:
@@ -150,14 +151,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(verify, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id, comp of all edges (u, v) of one partition: roots hook on lesser ones until none can."""
+    edges = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *batches])
+    ids, at = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    u, v = np.split(at, 2)
+    root = np.arange(len(ids))
+    while (apart := root[u] != root[v]).any():
+        u, v = root[u[apart]], root[v[apart]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((above := root[root]) != root).any():
+            root = above
+    yield pd.DataFrame({"id": ids, "comp": ids[root]})
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """id, comp (the least id reachable) for every id in links (a, b).
 
-    Alternating large-star and small-star until nothing changes: each pass is two
+    Up to ``at_once`` links are joined in one task without a shuffle. More of them go through
+    alternating large-star and small-star until nothing changes: each pass is two
     aggregations and two joins, is written out, and needs no vertex's neighbours in one
-    place. Passes grow with the logarithm of the longest chain.
+    place. Passes grow with the logarithm of the longest chain. Both give the same rows.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    if edges.count() <= at_once:
+        comps = cut(edges.coalesce(1).mapInPandas(_joined, "id long, comp long"), "comps")
+        drop_cut(edges)
+        return comps
+    edges = edges.distinct()
     state, now = None, ()
     while now != state:
         state = now
@@ -207,39 +228,14 @@ def _parts(members: Column, size: Column) -> Column:
     return F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_SIZE)).cast("int")
 
 
-def refined(open_members: DataFrame, banded: DataFrame) -> DataFrame:
-    """Open buckets, where those whose rest fills several blocks are split by a further band.
-
-    Texts of such a bucket that agree on one more band make a bucket of their own. A pair at
-    the threshold agrees on one of the others as surely as it shares a bucket at all, so it is
-    missed with a probability below ``MISS`` once more. A bucket is split only where its parts
-    leave fewer pairs to compare, which texts just below the threshold may not.
-    """
-    pairs = F.col("c_rest") * (F.col("c_rest") + F.col("c_most"))
-    crowded = cut(_sides(open_members).filter(_parts(F.col("c_rest"), F.col("w_rest")) > 1).select(F.col("key").alias("whole"), pairs.alias("before")), "crowded")
-    if crowded.isEmpty():
-        return open_members
-    inside = open_members.join(crowded.select(F.col("whole").alias("key")), "key", "left_semi")
-    finer = inside.join(banded.select("rep", F.col("key").alias("other")), "rep").filter("other <> key")
-    finer = cut(finer.select(F.col("key").alias("whole"), F.xxhash64("key", "other").alias("key"), "rep", "comp", "n"), "finer")
-    owner = finer.select("key", "whole").distinct()
-    after = _sides(finer).select("key", pairs.alias("pairs")).join(owner, "key").groupBy("whole").agg(F.sum("pairs").alias("after"))
-    split = cut(crowded.join(after, "whole", "left").filter(F.coalesce("after", F.lit(0)) < F.col("before")).select("whole"), "split")
-    several = finer.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    made = finer.join(split, "whole", "left_semi").join(several, "key", "left_semi").select("key", "rep", "comp", "n")
-    rest = open_members.join(split.select(F.col("whole").alias("key")), "key", "left_anti").select("key", "rep", "comp", "n")
-    return cut(rest.unionByName(made), "open")
-
-
-def _blocks(open_members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that share an open bucket, compared block by block.
+def refined(open_members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Open buckets dealt into groups, as key, rep, comp and text.
 
     The members of a bucket's largest component need no comparing with one another. They
     and the rest are dealt by hash into parts of about ``BLOCK`` members or ``BLOCK_SIZE``
     shingles, whatever comes first; each part of the rest makes a group with itself, each
-    later part of the rest and each part of the component, all of whose pairs are checked
-    on full sets. So a bucket of one component and few others takes time in proportion to
-    its members. Of the links between components a group gives a spanning forest.
+    later part of the rest and each part of the component. So every pair that may link two
+    components lies in a group, however large the bucket is.
     """
     in_most = F.col("comp") == F.col("most")
     dealt = _sides(open_members).select("key", "most", *[_parts(F.col(f"c_{x}"), F.col(f"w_{x}")).alias(f"of_{x}") for x in ("most", "rest")])
@@ -252,13 +248,17 @@ def _blocks(open_members: DataFrame, texts: DataFrame, k: int, percent: int) ->
             F.transform(whole("of_most"), lambda x: F.struct(F.col("own").alias("i"), (-1 - x).alias("j"))),
         )
     )
-    dealt = (
-        open_members.join(dealt, "key")
-        .withColumn("own", own)
-        .select("key", "rep", "comp", F.explode(groups).alias("of"))
-        .select("key", "of.i", "of.j", "rep", "comp")
-        .join(texts, "rep")
-    )
+    dealt = open_members.join(dealt, "key").withColumn("own", own).select("key", "rep", "comp", F.explode(groups).alias("of"))
+    return dealt.select(F.struct("key", "of.i", "of.j").alias("key"), "rep", "comp").join(texts, "rep")
+
+
+def _blocks(open_members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that share an open bucket, compared group by group.
+
+    All pairs of a group are checked on full sets, and of the links between components it
+    gives a spanning forest. So a bucket of one component and few others takes time in
+    proportion to its members.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["rep", "text"]).sort_values(["rep", "text"])  # any text of a rep links
@@ -280,7 +280,7 @@ def _blocks(open_members: DataFrame, texts: DataFrame, k: int, percent: int) ->
                 out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return refined(open_members, texts).groupBy("key").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     open_members = cut(open_members.join(several, "key", "left_semi"), "open")
     if not open_members.isEmpty():
         open_members = open_members.join(marks.select("rep", "n"), "rep").select("key", "rep", "comp", "n")
-        late = cut(_blocks(refined(open_members, banded), texts, k, percent), "links")
+        late = cut(_blocks(open_members, texts, k, percent), "links")
         if not late.isEmpty():
             comps = components(links.union(late))
     drop_cut(members, star, texts, links)  # components are written: nothing reads these any more
