@@ -419,6 +419,30 @@ def plain_shard(units, window, corpus):
     return out
 
 
+def test_words_that_keep_coming_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 100)
+    words, learnt = packing.WordTokenizer(tokenizers.path("word_bpe_49k.json")), Counter()
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: (learnt.update(new), learn(new)))
+    for i in range(60):
+        words.encode(" ".join(["often", *(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}q" for k in range(10))]))
+    assert learnt["often"] == 1 and len(learnt) == 601
+    assert len(words.kept) + len(words.older) <= 130
+
+
+def test_merges_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    draw, library, words = np.random.default_rng(3), Tokenizer.from_file(path), packing.WordTokenizer(path)
+    letters = [*"abcdeeeilnorstt", *"éüßñµª", *"įøþ"]
+    texts = ["".join(draw.choice(letters, n)) for n in draw.integers(1, 90, 2_000)] + ["aaaaaaaa", "hahahahahahaha", "''s're", "x" * 300, "\x85a\xa0b", "...!!??--", "½²1", "", " \n "]
+    texts += [" ".join(draw.choice(texts, 9)) + "日本" * (n % 5 == 0) for n in range(200)] + ["a <|EndOfText|> b", "A'S don't"]
+    got = [ids.tolist() for ids in words.encode_all(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [words.encode(t).tolist() for t in texts] == got
+
+
 def test_packing_equals_a_plain_packer(spark):
     """Shards in the order of rarest terms, the corpus's counts, and greedy windows, however the input lies."""
     path, window = tokenizers.path("word_bpe_49k.json"), 64

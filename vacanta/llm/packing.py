@@ -24,11 +24,13 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,9 @@ SHARD_TOKENS, PART_SHARDS, MOST_PARTS = 1 << 20, 4, 1 << 16
 KEY_TERMS = 4
 #: Units sampled for each partition, to find where the partitions' ranges end.
 SAMPLED = 32
-#: BM25's constants, and words kept encoded.
+#: BM25's constants, words kept encoded, and words looked up together (or those of a longer text).
 K1, B = 1.2, 0.75
-KEPT_WORDS = 800_000
+KEPT_WORDS, WORDS_AT_ONCE = 800_000, 1 << 16
 
 # The word pattern of the tokenizer for texts of characters up to U+012F,
 # where lower-casing and composition need no more than Python's; others take the tokenizer.
@@ -63,18 +65,75 @@ def _is_other(text: str) -> bool:
     return bool(text.encode().translate(None, _PLAIN)) if text.isascii() else bool(_OTHER.search(text))
 
 
+class Merges:
+    """A tokenizer's ranked merges, done on many words at once: in each step every word has
+    the leftmost of its pairs of least rank merged."""
+
+    NONE, LONGEST = np.int64(1 << 62), 255
+
+    def __init__(self, path: str, suffix: str = "</w>"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        #: Ids of a byte within a word and at its end; ``none`` is no token.
+        self.inner, self.last = (np.array([vocab[letter[b] + end] for b in range(256)]) for end in ("", suffix))
+        self.none = self.size = max(vocab.values()) + 1
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pair = np.array([vocab[a] * self.size + vocab[b] for a, b in merges])
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.rank, self.made = pair[order], order, np.array([vocab[a + b] for a, b in merges])
+
+    def _keys(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of pairs in one number; NONE for those that don't merge."""
+        pair = a * self.size + b
+        at = np.searchsorted(self.pair, pair)
+        at[at == len(self.pair)] = 0
+        return np.where((self.pair[at] == pair) & (b != self.none), self.rank[at] << 8 | place, self.NONE)
+
+    def ids(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all words, of at most LONGEST bytes each, and where each word's end in them."""
+        data = np.frombuffer((" ".join(words) + " ").encode(), dtype=np.uint8)
+        end = np.flatnonzero(data == 0x20)
+        start = np.concatenate(([0], end[:-1] + 1))
+        token, after, before = self.inner[data], np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        token[end - 1] = self.last[data[end - 1]]
+        token[end] = self.none
+        alive = token != self.none
+        place = np.arange(len(data)) - np.repeat(start, end + 1 - start)
+        key = np.full(len(data), self.NONE)
+        key[:-1] = self._keys(token[:-1], token[1:], place[:-1])
+        while True:
+            best = np.minimum.reduceat(key, start)
+            some = np.flatnonzero(best != self.NONE)
+            if not len(some):
+                break
+            best = best[some]
+            at = start[some] + (best & 0xFF)
+            gone = after[at]
+            nxt, prior = after[gone], before[at]
+            token[at], alive[gone], key[gone] = self.made[best >> 8], False, self.NONE
+            after[at], before[nxt] = nxt, at
+            key[at] = self._keys(token[at], token[nxt], place[at])
+            key[prior] = self._keys(token[prior], token[at], place[prior])
+        return token[alive].astype("<u4").tobytes(), (4 * np.cumsum(np.add.reduceat(alive, start, dtype=np.int64))).tolist()
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer file; words met before are looked up."""
+    """Ids of texts by a tokenizer file; words met before are looked up.
+
+    ``kept`` has the words met of late; when it is half full it becomes ``older``, from
+    which what is met again comes back, so only words that stay away are forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-        # the same merges for words that are folded and told apart already
-        self.of_words = Tokenizer.from_file(path)
-        self.of_words.normalizer = normalizers.Sequence([])
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {}, {}
+        self.merges = Merges(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # texts that may hold a special token are the library's own business
         self.special = re.compile("|".join(map(re.escape, special)) or r"\Z.", re.I)
@@ -84,44 +143,75 @@ class WordTokenizer:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
-        """Keeps the ids of words, encoded in one text and told apart by the ids that end a word."""
-        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) == len(words) and at[-1] == len(ids):
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(words, (4 * at).tolist(), strict=True):
+        """Keeps the ids of words."""
+        start, known = 0, [w for w in words if len(w) <= Merges.LONGEST // 4]
+        for w in words if len(known) < len(words) else ():
+            if len(w) > Merges.LONGEST // 4:
+                self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if known:
+            raw, ends = self.merges.ids(known)
+            for w, end in zip(known, ends, strict=True):
                 self.kept[w] = raw[start:end]
                 start = end
-        else:
-            for w in words:
-                self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if _is_other(text) or self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        # words do not cross white space, so what stands between it is looked up as one
-        found, kept = text.lower().split(), self.kept
-        raw = list(map(kept.get, found))
-        if None in raw:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-                raw = [None] * len(found)
-            at = [i for i, ids in enumerate(raw) if ids is None]
-            new = {chunk: _WORD.findall(chunk) for chunk in {found[i] for i in at}}
-            words = {w for parts in new.values() for w in parts}.difference(kept)
-            if words:
-                self.learn(list(words))
-            for chunk, parts in new.items():
-                if len(parts) > 1:
-                    new[chunk] = b"".join(map(kept.__getitem__, parts))
-                    if words.isdisjoint(parts):  # all its words were met before, so it may come again
-                        kept[chunk] = new[chunk]
-                else:
-                    new[chunk] = kept[chunk]
-            for i in at:
-                raw[i] = new[found[i]]
-        raw = b"".join(raw)
-        return np.frombuffer(raw, dtype="<u4")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; texts that follow one another are looked up together."""
+        group, size = [], 0
+        for text in texts:
+            if _is_other(text) or self.special.search(text):
+                group.append((np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"), (), ()))
+            else:
+                # words do not cross white space, so what stands between it is looked up as one
+                found = text.lower().split()
+                raw = list(map(self.kept.get, found))
+                at = [i for i, ids in enumerate(raw) if ids is None] if None in raw else ()
+                group.append((raw, at, [found[i] for i in at]))
+            size += len(group[-1][0])
+            if size >= WORDS_AT_ONCE:
+                yield from self._filled(group)
+                group, size = [], 0
+        yield from self._filled(group)
+
+    def _filled(self, group: list[tuple]) -> Iterator[np.ndarray]:
+        """The ids of texts, for each of which ``group`` has the ids of its chunks, the places
+        of those that were not found and these; or an array of ids."""
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.kept, self.older = {}, self.kept
+        new = self._met(set(chain.from_iterable(chunks for _, _, chunks in group)))
+        for raw, at, chunks in group:
+            if isinstance(raw, np.ndarray):
+                yield raw
+                continue
+            for i, chunk in zip(at, chunks, strict=True):
+                raw[i] = new[chunk]
+            yield np.frombuffer(b"".join(raw), dtype="<u4")
+
+    def _met(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that ``kept`` lacks; it gets their words, and chunks that may come again."""
+        kept, older, new = self.kept, self.older, {}
+        for chunk in chunks:
+            if chunk in older:
+                kept[chunk] = new[chunk] = older[chunk]
+            else:
+                new[chunk] = (chunk,) if chunk.isalpha() else _WORD.findall(chunk)
+        parted = {chunk: parts for chunk, parts in new.items() if not isinstance(parts, bytes)}
+        words = set(chain.from_iterable(parted.values())).difference(kept)
+        for w in [w for w in words if w in older]:
+            kept[w] = older[w]
+            words.remove(w)
+        if words:
+            self.learn(list(words))
+        for chunk, parts in parted.items():
+            if len(parts) == 1:
+                new[chunk] = kept[parts[0]]
+            else:
+                new[chunk] = b"".join(map(kept.__getitem__, parts))
+                if words.isdisjoint(parts):  # all its words were met before, so it may come again
+                    kept[chunk] = new[chunk]
+        return new
 
 
 #: One tokenizer for each file in a worker, so that later tasks find the words kept.
@@ -207,7 +297,11 @@ def rarity(held: np.ndarray) -> np.ndarray:
 def rare_key(unit: np.ndarray, rank: np.ndarray) -> bytes:
     """The places of a unit's rarest terms that other units hold as well, rarest first; where
     there are fewer, all ones follow."""
-    first = np.unique(rank[unit])[:KEY_TERMS].astype(">u4").tobytes()
+    left, first = rank[unit], b""
+    while len(left) and len(first) < 4 * KEY_TERMS:
+        least = left.min()
+        first += int(least).to_bytes(4, "big")
+        left = left[left > least]
     return first.ljust(4 * KEY_TERMS, b"\xff")
 
 
@@ -223,14 +317,17 @@ def _encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uid, sequence = tokenizer(path), TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 40
         held, id_type = np.zeros(len(words.ends), dtype=np.int64), None
+        place, order = np.zeros(len(words.ends), dtype=np.int32), np.arange(window, dtype=np.int32)
         for batch in batches:
             rows, id_type = [], batch.column("doc_id").type
-            for text in batch.column("text").to_pylist():
-                ids = np.append(words.encode(text or ""), np.uint32(END_ID)).astype("<u4")
+            for ids in words.encode_all(text or "" for text in batch.column("text").to_pylist()):
+                ids = np.append(ids, np.uint32(END_ID))
                 whole = len(ids) // window * window
-                wholes = [zlib.crc32(ids[s : s + window].tobytes()) for s in range(0, whole, window)]
-                held[np.unique(ids[whole:])] += 1
-                rows.append((uid, len(ids), sequence, wholes, ids[whole:].astype(words.small).tobytes()))
+                wholes = [zlib.crc32(ids[s : s + window]) for s in range(0, whole, window)]
+                rest, nth = ids[whole:], order[: len(ids) - whole]
+                place[rest] = nth
+                held[rest[place[rest] == nth]] += 1  # each term once, where it stands last
+                rows.append((uid, len(ids), sequence, wholes, rest.astype(words.small).tobytes()))
                 uid, sequence = uid + 1, sequence + len(wholes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=schema.names)
         if id_type is not None:
